@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["text_queries", "analytics_queries", "temporal_queries", "sampling_queries"]
+AREAS = [
+    "text_queries", "analytics_queries", "temporal_queries", "sampling_queries", "model_queries",
+]
 
 
 def _load() -> None:
