@@ -137,9 +137,8 @@ def tokens(text: Column) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
+    """Neighbouring words joined by a blank; ``words`` should be a plain column."""
+    following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.array_compact(
+        F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
     )
-    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))

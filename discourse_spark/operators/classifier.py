@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import (
-    CountVectorizerModel,
+    CountVectorizer,
     ElementwiseProduct,
     HashingTF,
     Normalizer,
@@ -29,18 +29,21 @@ from discourse_spark.session import materialize
 
 MAX_FEATURES = 50_000
 MIN_DF = 2
+TOLERANCE = 1e-4
 
 
-def grams(text: Column) -> Column:
-    """Words and word pairs of a cleaned text, with repeats."""
-    words = tokens(text)
-    return F.concat(words, bigrams(words))
+def with_grams(df: DataFrame, text_col: str = "clean_text", name: str = "grams") -> DataFrame:
+    """Add words and word pairs of a cleaned text, with repeats.
+
+    The words get a column of their own first, so that they are extracted once.
+    """
+    words = df.withColumn("_words", tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    both = F.concat(F.col("_words"), bigrams(F.col("_words")))
+    return words.withColumn(name, both).drop("_words")
 
 
 def term_statistics(df: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """Per term: total frequency and number of posts, in one scan and one shuffle."""
-    every = grams(F.coalesce(F.col(text_col), F.lit("")))
-    with_grams = df.select(every.alias("g"))
     marked = F.concat(
         F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(False).alias("first"))),
         F.transform(
@@ -48,7 +51,8 @@ def term_statistics(df: DataFrame, text_col: str = "clean_text") -> DataFrame:
         ),
     )
     return (
-        with_grams.select(F.inline(marked))
+        with_grams(df.select(text_col), text_col, "g")
+        .select(F.inline(marked))
         .groupBy("term")
         .agg(F.count_if(~F.col("first")).alias("tf"), F.count_if("first").alias("df"))
     )
@@ -58,10 +62,11 @@ def tfidf_vocabulary(df: DataFrame, text_col: str = "clean_text",
                      max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:
     """The ``max_features`` most frequent terms of at least ``min_df`` posts, with smooth idf.
 
-    A histogram of frequencies first gives the lowest frequency that can make
-    the cut, so that the final ranking only sees terms near or above it.
+    Term counts are written once. A histogram of frequencies gives the lowest
+    one that can make the cut, so that the final ranking only sees terms near or
+    above it.
     """
-    terms = term_statistics(df, text_col).where(F.col("df") >= min_df)
+    terms = materialize(term_statistics(df, text_col).where(F.col("df") >= min_df), "terms")
     by_frequency = terms.groupBy("tf").agg(rows().alias("n"))
     from_top = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, 0)
     lowest = (
@@ -84,8 +89,7 @@ class Grams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        text = F.coalesce(F.col(self.getInputCol()), F.lit(""))
-        return dataset.withColumn(self.getOutputCol(), grams(text))
+        return with_grams(dataset, self.getInputCol(), self.getOutputCol())
 
 
 _VECTOR_FIELDS = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
@@ -123,19 +127,22 @@ def fit_tfidf(df: DataFrame, text_col: str = "clean_text", max_features: int = M
     Only the vocabulary, at most ``max_features`` terms, comes to the driver.
     Transforming needs no shuffle: each post is counted inside its own row.
     """
-    vocabulary = tfidf_vocabulary(df, text_col, max_features, min_df).select("term", "idf")
-    terms = sorted((r["term"], r["idf"]) for r in vocabulary.collect())
-    if not terms:
+    vocabulary = materialize(
+        tfidf_vocabulary(df, text_col, max_features, min_df).select("term", "idf"), "vocabulary"
+    )
+    idf = {r["term"]: r["idf"] for r in vocabulary.collect()}
+    if not idf:
         raise ValueError("no term occurs in enough texts")
-    counts = CountVectorizerModel.from_vocabulary(
-        [t for t, _ in terms], inputCol="grams", outputCol="counts"
+    counter = CountVectorizer(
+        inputCol="grams", outputCol="counts", vocabSize=max_features, minDF=1.0
     )
+    counts = counter.fit(vocabulary.select(F.array("term").alias("grams")))
     stages = [
         Grams(inputCol=text_col, outputCol="grams"),
         counts,
         SublinearTf(inputCol="counts", outputCol="sublinear"),
         ElementwiseProduct(
-            scalingVec=Vectors.dense([idf for _, idf in terms]),
+            scalingVec=Vectors.dense([idf[t] for t in counts.vocabulary]),
             inputCol="sublinear", outputCol="weighted",
         ),
         Normalizer(p=2.0, inputCol="weighted", outputCol="features"),
@@ -206,7 +213,7 @@ def fit_logistic(train: DataFrame, n: int, label: str = "label", c: float = 1.0)
     """Balanced, L2-regularised logistic regression on ``features``."""
     model = LogisticRegression(
         labelCol=label, weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=1000,
+        standardization=False, maxIter=1000, tol=TOLERANCE,
     )
     return Pipeline(stages=[model]).fit(balanced_weights(train, label))
 
@@ -222,7 +229,7 @@ def fit_linear_svc(train: DataFrame, n: int, label: str = "label", c: float = 1.
     def svc() -> LinearSVC:
         return LinearSVC(
             labelCol=label, weightCol="weight", regParam=1.0 / (c * n), maxIter=max_iter,
-            standardization=False, predictionCol="svc_prediction", rawPredictionCol="svc_raw",
+            standardization=False, tol=TOLERANCE, predictionCol="svc_prediction", rawPredictionCol="svc_raw",
         )
 
     margin = VectorSlicer(inputCol="svc_raw", outputCol="margin", indices=[1])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from discourse_spark.functions.text import tokens
 from discourse_spark.operators.analytics import percent, rows, top_value_per_group
 from discourse_spark.operators.skew import salted_join
+from discourse_spark.session import materialize
 
 OUTLIER = -1
 
@@ -95,9 +96,10 @@ def c_tf_idf(df: DataFrame, topic: str = "topic", text_col: str = "clean_text")
     """Class-based TF-IDF: one row per topic and term with ``score``.
 
     ``tf`` is the term's share of the topic's words. Counting is combined before
-    its shuffle, so frequent words and large topics cost no more than others.
+    its shuffle, so frequent words and large topics cost no more than others. The
+    counts are written once: texts are read a single time.
     """
-    counts = class_terms(df, topic, text_col)
+    counts = materialize(class_terms(df, topic, text_col), "class-terms")
     sizes = counts.groupBy("topic").agg(F.sum("tf").alias("words"))
     # one row per term and topic: no term is more frequent than there are topics
     return (
