@@ -127,10 +127,16 @@ def merge_title_body(title: Column, body: Column) -> Column:
     return strip(joined)
 
 
+# Unicode white space, spelled as the set that trimming removes.
+_WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Trim any Unicode white space, not only blanks."""
-    space = r"[\s\x1c-\x1f\x85\p{Z}]+"
-    return F.regexp_replace(text, f"^{space}|{space}$", "")
+    return F.btrim(text, F.lit(_WHITE_SPACE))
 
 
 def min_length_filter(df: DataFrame, column: str = "text", n: int = MIN_TEXT_LENGTH,

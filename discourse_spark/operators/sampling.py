@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from discourse_spark.session import materialize
+
 BUCKETS = 4096
 KEY_SPACE = 1 << 40
 
@@ -43,27 +45,36 @@ class QuotaSplit:
         self._keyed = df.withColumns({"_stratum": stratum, "_key": key.cast("long")}).withColumn(
             "_bucket", F.floor(F.col("_key") / width)
         )
-        self._histogram = self._keyed.groupBy(F.col("_stratum").alias("stratum"), "_bucket").agg(
+        histogram = self._keyed.groupBy(F.col("_stratum").alias("_s"), "_bucket").agg(
             F.count(F.lit(1)).alias("n")
         )
-        self.quotas = quotas(self._histogram.groupBy("stratum").agg(F.sum("n").alias("size")))
-
-    def marked(self) -> DataFrame:
+        # one row per stratum and key range; written once, read for quotas and cuts
+        histogram = materialize(histogram, "histogram")
+        sizes = histogram.groupBy(F.col("_s").alias("stratum")).agg(F.sum("n").alias("size"))
+        wanted = quotas(sizes).select(F.col("stratum").alias("_s"), "quota")
         running = (
-            Window.partitionBy("stratum").orderBy("_bucket")
+            Window.partitionBy("_s").orderBy("_bucket")
             .rowsBetween(Window.unboundedPreceding, 0)
         )
         start = F.sum("n").over(running) - F.col("n")
         cuts = (
-            self._histogram.withColumn("start", start)
-            .join(self.quotas.select("stratum", "quota"), "stratum")
+            histogram.withColumn("start", start).join(wanted, "_s")
             .where(F.col("start") < F.col("quota"))
-            .groupBy(F.col("stratum").alias("_s"))
+            .groupBy("_s")
             .agg(
                 F.max("_bucket").alias("_cut"),
                 F.max_by(F.col("quota") - F.col("start"), "_bucket").alias("_take"),
+                F.first("quota").alias("_quota"),
             )
         )
+        # one row per stratum, small enough to be seen as such by the planner
+        self._cuts = materialize(cuts, "cuts")
+
+    def quota_total(self) -> Column:
+        return self._cuts.agg(F.sum("_quota")).scalar()
+
+    def marked(self) -> DataFrame:
+        cuts = self._cuts.drop("_quota")
         placed = self._keyed.join(cuts, F.col("_stratum") == F.col("_s"), "left")
         in_cut = F.col("_bucket") == F.col("_cut")
         clear = placed.where(~F.coalesce(in_cut, F.lit(False))).withColumn(
@@ -108,7 +119,7 @@ def stratified_sample(df: DataFrame, n: int, stratum: Column | None = None,
         stratum = F.coalesce(F.col("subreddit"), F.col("source"))
     split = QuotaSplit(df, stratum, lambda sizes: sample_quotas(sizes, n), id_col, **key)
     marked = split.marked()
-    missing = F.lit(n) - split.quotas.agg(F.sum("quota")).scalar()
+    missing = F.lit(n) - split.quota_total()
     rest = marked.where(~F.col("selected")).drop("selected")
     return marked.where("selected").drop("selected").unionByName(
         random_sample(rest, missing, id_col, **key)

@@ -8,6 +8,7 @@ are sent as nulls and skipped, which needs no join to put scores back.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -33,27 +34,35 @@ class KeywordScorer:
     def __call__(self, texts: list[str]) -> list[dict[str, float]]:
         results = []
         for text in texts:
-            found = text.split()
-            n = max(len(found), 1)
-            scores = {label: sum(w in ws for w in found) / n for label, ws in self.words.items()}
+            found = Counter(text.split())
+            n = max(found.total(), 1)
+            scores = {label: sum(found[w] for w in ws) / n for label, ws in self.words.items()}
             if self.rest is not None:
                 scores[self.rest] = max(0.0, 1.0 - sum(scores.values()))
             results.append(scores)
         return results
 
 
-def _scored_batches(series: pd.Series, scorer: Scorer, batch_size: int, keep_going: bool):
-    """Yield (index, scores) of the non-null texts; scores are None for a failed batch."""
-    present = series.dropna()
+def _score_series(series: pd.Series, scorer: Scorer, batch_size: int,
+                  keep_going: bool) -> list[dict[str, float] | None]:
+    """One result per text, in batches of present texts.
+
+    None stands for an absent text, an empty dictionary for a failed batch.
+    """
+    texts = series.tolist()
+    present = [i for i, text in enumerate(texts) if text is not None]
+    results: list[dict[str, float] | None] = [None] * len(texts)
     for start in range(0, len(present), batch_size):
-        batch = present.iloc[start:start + batch_size]
+        places = present[start:start + batch_size]
         try:
-            results = scorer(batch.tolist())
+            scored = scorer([texts[i] for i in places])
         except Exception:
             if not keep_going:
                 raise
-            results = [None] * len(batch)
-        yield from zip(batch.index, results)
+            scored = [{}] * len(places)
+        for i, result in zip(places, scored):
+            results[i] = result
+    return results
 
 
 def scores_of(text: Column, load: Callable[[], Scorer], label_map: Mapping[str, str],
@@ -70,12 +79,12 @@ def scores_of(text: Column, load: Callable[[], Scorer], label_map: Mapping[str,
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for series in batches:
-            out = pd.DataFrame({n: None for n in names}, index=series.index, dtype="float64")
-            for i, result in _scored_batches(series, scorer, batch_size, keep_going):
-                if result is not None:
-                    values = [float(result.get(label, 0.0)) for label in label_map]
-                    out.loc[i] = values if decimals is None else [round(v, decimals) for v in values]
-            yield out
+            table = [
+                [float(result.get(label, 0.0)) if result else None for label in label_map]
+                for result in _score_series(series, scorer, batch_size, keep_going)
+            ]
+            out = pd.DataFrame(table, columns=names, dtype="float64")
+            yield out if decimals is None else out.round(decimals)
 
     return score(text)
 
@@ -88,14 +97,17 @@ def top1_of(text: Column, load: Callable[[], Scorer], batch_size: int = 32,
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for series in batches:
-            labels = pd.Series([None] * len(series), index=series.index, dtype=object)
-            scores = pd.Series([None] * len(series), index=series.index, dtype="float64")
-            for i, result in _scored_batches(series, scorer, batch_size, keep_going):
-                label, value = ("neutral", 0.0)
-                if result:
-                    label, value = min(result.items(), key=lambda kv: (-kv[1], kv[0]))
-                labels[i], scores[i] = label, round(float(value), decimals)
-            yield pd.DataFrame({"label": labels, "score": scores})
+            best_of = []
+            for result in _score_series(series, scorer, batch_size, keep_going):
+                if result is None:
+                    best_of.append((None, None))
+                elif not result:
+                    best_of.append(("neutral", 0.0))
+                else:
+                    best_of.append(min(result.items(), key=lambda kv: (-kv[1], kv[0])))
+            out = pd.DataFrame(best_of, columns=["label", "score"])
+            out["score"] = out["score"].astype("float64").round(decimals)
+            yield out
 
     return best(text)
 

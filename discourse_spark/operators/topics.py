@@ -186,26 +186,26 @@ def topic_similarity(scores: DataFrame, k: int) -> DataFrame:
     Each task adds up one ``k x k`` matrix over its terms, so what is shuffled is
     a matrix per task, not pairs per term.
     """
-    rows_of_terms = (
+    by_term = (
         scores.where(F.col("topic") != OUTLIER)
         .groupBy("term")
-        .agg(F.collect_list(F.struct("topic", "score")).alias("cells"))
+        .pivot("topic", list(range(k)))
+        .agg(F.first("score"))
+        .drop("term")
+        .fillna(0.0)
     )
 
     def partial_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((k, k))
         for batch in batches:
-            dense = np.zeros((len(batch), k))
-            for i, cells in enumerate(batch["cells"]):
-                for cell in cells:
-                    dense[i, cell["topic"]] = cell["score"]
-            total += dense.T @ dense
+            weights = batch.to_numpy(dtype="float64")
+            total += weights.T @ weights
         a, b = np.nonzero(total)
         yield pd.DataFrame({"a": a, "b": b, "product": total[a, b]})
 
-    products = rows_of_terms.select("cells").mapInPandas(
-        partial_products, "a int, b int, product double"
-    ).groupBy("a", "b").agg(F.sum("product").alias("product"))
+    products = by_term.mapInPandas(partial_products, "a int, b int, product double").groupBy(
+        "a", "b"
+    ).agg(F.sum("product").alias("product"))
     # the diagonal carries the squared norms: one row per topic
     norms = products.where(F.col("a") == F.col("b")).select("a", F.sqrt("product").alias("norm"))
     return (

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from discourse_spark.functions import text as X
 from discourse_spark.operators import analytics as A
+from discourse_spark.operators.enrich import enrich_base
 from discourse_spark.plans import sql as S
-from discourse_spark.plans.corpus import analysed, facts
+from discourse_spark.plans.corpus import facts, posts
 from discourse_spark.plans.registry import query
 
 OTHERING_PCT = "round(avg(othering_predicted) * 100, 6) AS othering_pct"
@@ -68,9 +70,8 @@ def toxicity_by_score(spark, sf_dir):
   CASE WHEN length(text) > 280 THEN substr(text, 1, 280) || '...' ELSE text END AS preview
 FROM facts WHERE toxicity IS NOT NULL ORDER BY toxicity DESC, post_id LIMIT 10"""))
 def most_toxic(spark, sf_dir):
-    from discourse_spark.functions import text as X
-
-    top = A.most_toxic(analysed(spark, sf_dir), 10)
+    """Rank first, then analyse only the posts that are shown."""
+    top = enrich_base(A.most_toxic(posts(spark, sf_dir, spread=False), 10))
     return top.select(
         "post_id", "toxicity", "othering_predicted",
         X.dataset_short_name(F.col("dataset")).alias("short"),

@@ -43,15 +43,16 @@ def tfidf_vocabulary(spark, sf_dir):
 
 @query(S.with_clean(f"""{_TERMS}, weights AS (SELECT post_id, (1 + ln(n)) * idf AS x
   FROM in_post JOIN vocabulary USING (term))
-SELECT post_id, count(*) AS n_terms, round(sum(x) / sqrt(sum(x * x)), 6) AS total,
-  round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM weights GROUP BY post_id"""))
+SELECT post_id, count(x) AS n_terms, round(coalesce(sum(x) / sqrt(sum(x * x)), 0), 6) AS total,
+  round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM clean LEFT JOIN weights USING (post_id)
+GROUP BY post_id"""))
 def tfidf_features(spark, sf_dir):
     """Unit-length TF-IDF vectors, summarised per post."""
     texts = cleaned(spark, sf_dir).select("post_id", "clean_text")
     features = C.fit_tfidf(texts).transform(texts)
     plain = features.select("post_id", C.vector_fields(F.col("features")).alias("v"))
     total = F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x)
-    return plain.where(F.size("v.values") > 0).select(
+    return plain.select(
         "post_id", F.size("v.values").alias("n_terms"), total.alias("total"),
         F.array_max("v.values").alias("largest"),
     )
