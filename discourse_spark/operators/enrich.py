@@ -16,6 +16,7 @@ from discourse_spark.operators.normalize import (
     parse_post_date,
     rename_text,
 )
+from discourse_spark.operators.scoring import score_batches, top1_label
 
 SCORE_COLUMNS = {
     **{c: ("double", None) for c in TOXICITY_COLUMNS},
@@ -58,6 +59,28 @@ def enrich_base(df: DataFrame, run_othering: bool = True, pronoun_mode: str = "l
     return ensure_columns(df, {"pronoun_type": ("string", "none")})
 
 
+def _unscored(df: DataFrame, column: str) -> bool:
+    """Is the column absent or null everywhere? The check stops at the first value."""
+    return column not in df.columns or df.where(F.col(column).isNotNull()).isEmpty()
+
+
+def enrich_full(df: DataFrame, run_othering: bool = True, toxicity=None, emotion=None,
+                topics=None, model=None) -> DataFrame:
+    """The base analysis and the optional stages that were asked for.
+
+    ``toxicity`` and ``emotion`` are scorer loaders, ``topics`` adds topic and
+    topic_name. Scores that are already there are kept.
+    """
+    need_toxicity = toxicity is not None and _unscored(df, "toxicity")
+    need_emotion = emotion is not None and _unscored(df, "emotion")
+    df = enrich_base(df, run_othering, model=model)
+    if need_toxicity:
+        df = score_batches(df, toxicity)
+    if need_emotion:
+        df = top1_label(df, emotion)
+    return df if topics is None else topics(df)
+
+
 def canonical_posts(df: DataFrame, dataset: str, already_analyzed: bool = False) -> DataFrame:
     """One raw table of any shape as canonical posts labelled with its dataset."""
     column, _ = detect_text_column(df)

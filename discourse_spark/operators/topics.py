@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from discourse_spark.functions.text import tokens
 from discourse_spark.operators.analytics import percent, rows, top_value_per_group
+from discourse_spark.operators.classifier import hashed_features
 from discourse_spark.operators.skew import salted_join
 from discourse_spark.session import materialize
 
@@ -240,6 +241,27 @@ def merge_topics(df: DataFrame, similarity: DataFrame, threshold: float = 0.8) -
     return df.withColumn("topic", merged.cast("int"))
 
 
+def model_topics(df: DataFrame, k: int = 50, features=None, dims: int = 5,
+                 min_size: int = 20, merge_above: float = 0.8,
+                 overrides: Mapping[int, str] | None = None, seed: int = 42) -> DataFrame:
+    """Add topic and topic_name: features, projection, clusters, outliers, merging, names.
+
+    Without ``features`` (a column name) texts are hashed into vectors. The
+    clustered table is written once, because the later steps read it several times.
+    """
+    if features is None:
+        source, features = hashed_features().transform(df), "features"
+    else:
+        source = df
+    reduced = reduce_dims(source, dims, features)
+    clustered = cluster(reduced, k, min_size, seed=seed).select(
+        *[c for c in df.columns if c not in ("topic", "topic_name")], "topic"
+    )
+    placed = materialize(reduce_outliers(materialize(clustered, "clustered")), "placed")
+    merged = merge_topics(placed, topic_similarity(c_tf_idf(placed), k), merge_above)
+    return add_topic_names(merged, overrides)
+
+
 def topic_info(df: DataFrame) -> DataFrame:
     """Size and share of every topic, outliers included."""
     sizes = df.groupBy("topic").agg(rows().alias("n"))

@@ -6,6 +6,7 @@ from importlib import import_module
 
 AREAS = [
     "text_queries", "analytics_queries", "temporal_queries", "sampling_queries", "model_queries",
+    "source_queries",
 ]
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from discourse_spark.session import ship_package
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Run] = {}
@@ -18,7 +20,11 @@ def query(sql: str | None = None) -> Callable[[Run], Run]:
     """Register a function under its own name."""
 
     def register(run: Run) -> Run:
-        QUERIES[run.__name__] = lambda spark, sf_dir: tidy(run(spark, sf_dir))
+        def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return tidy(run(spark, sf_dir))
+
+        QUERIES[run.__name__] = prepared
         if sql is not None:
             SQL[run.__name__] = sql
         return run
