@@ -2,9 +2,9 @@
 
 Rows carry a hash key. A histogram of key ranges per stratum (at most ``BUCKETS``
 rows each, combined before the shuffle) tells which range holds the last row of
-the quota. Ranges below it are taken whole without a shuffle; only the rows of
-that one range are ranked. A stratum with a third of all rows therefore costs one
-key range in one task, never the stratum itself.
+the quota. While that range holds many rows it is divided again. In the end,
+rows below it are taken without a shuffle and only the few rows inside it are
+ranked, however large the stratum.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from discourse_spark.session import materialize
 
 BUCKETS = 4096
+BORDER_ROWS = 100_000
 KEY_SPACE = 1 << 40
 
 
@@ -34,57 +35,83 @@ class QuotaSplit:
     """Marks, in each stratum, the ``quota`` rows with the smallest hash keys.
 
     ``quotas`` maps a table (stratum, size) to one with an added ``quota`` column.
+    Without ``stratum`` the whole table is one.
     """
 
-    def __init__(self, df: DataFrame, stratum: Column, quotas: Callable[[DataFrame], DataFrame],
-                 id_col: str = "post_id", key: Column | None = None,
-                 key_space: int = KEY_SPACE, seed: int = 42) -> None:
+    def __init__(self, df: DataFrame, stratum: Column | None,
+                 quotas: Callable[[DataFrame], DataFrame], id_col: str = "post_id",
+                 key: Column | None = None, key_space: int = KEY_SPACE, seed: int = 42,
+                 border_rows: int = BORDER_ROWS) -> None:
         key = hash_key(seed, id_col) if key is None else key
-        width = -(-key_space // BUCKETS)
         self._id = id_col
-        self._keyed = df.withColumns({"_stratum": stratum, "_key": key.cast("long")}).withColumn(
-            "_bucket", F.floor(F.col("_key") / width)
+        self._single = stratum is None
+        self._keyed = df.withColumns(
+            {"_stratum": F.lit(0) if stratum is None else stratum, "_key": key.cast("long")}
         )
-        histogram = self._keyed.groupBy(F.col("_stratum").alias("_s"), "_bucket").agg(
+        self._width = -(-key_space // BUCKETS)
+        counts = self._histogram(self._keyed, F.lit(0).cast("long"))
+        sizes = counts.groupBy(F.col("_s").alias("stratum")).agg(F.sum("n").alias("size"))
+        wanted = quotas(sizes).select(
+            F.col("stratum").alias("_s"), F.col("quota").alias("_quota"), F.col("quota").alias("_take")
+        )
+        self._cuts = self._cut(counts, wanted)
+        while self._width > 1 and (self._border_size() or 0) > border_rows:
+            inside = self._placed().where(self._in_border())
+            self._width = -(-self._width // BUCKETS)
+            counts = self._histogram(inside, F.col("_low"))
+            self._cuts = self._cut(counts, self._cuts.select("_s", "_quota", "_take"))
+
+    def _histogram(self, rows: DataFrame, low: Column) -> DataFrame:
+        """Rows per stratum and key range: (_s, _from, n), written once."""
+        start = low + F.floor((F.col("_key") - low) / self._width) * self._width
+        counts = rows.groupBy(F.col("_stratum").alias("_s"), start.alias("_from")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        # one row per stratum and key range; written once, read for quotas and cuts
-        histogram = materialize(histogram, "histogram")
-        sizes = histogram.groupBy(F.col("_s").alias("stratum")).agg(F.sum("n").alias("size"))
-        wanted = quotas(sizes).select(F.col("stratum").alias("_s"), "quota")
+        return materialize(counts, "histogram")
+
+    def _cut(self, counts: DataFrame, wanted: DataFrame) -> DataFrame:
+        """One row per stratum: where the border range starts and how many to take from it."""
         running = (
-            Window.partitionBy("_s").orderBy("_bucket")
-            .rowsBetween(Window.unboundedPreceding, 0)
+            Window.partitionBy("_s").orderBy("_from").rowsBetween(Window.unboundedPreceding, 0)
         )
-        start = F.sum("n").over(running) - F.col("n")
         cuts = (
-            histogram.withColumn("start", start).join(wanted, "_s")
-            .where(F.col("start") < F.col("quota"))
+            counts.withColumn("_before", F.sum("n").over(running) - F.col("n"))
+            .join(wanted, "_s")
+            .where(F.col("_before") < F.col("_take"))
             .groupBy("_s")
             .agg(
-                F.max("_bucket").alias("_cut"),
-                F.max_by(F.col("quota") - F.col("start"), "_bucket").alias("_take"),
-                F.first("quota").alias("_quota"),
+                F.max("_from").alias("_low"),
+                F.max_by(F.col("_take") - F.col("_before"), "_from").alias("_take"),
+                F.first("_quota").alias("_quota"),
+                F.max_by("n", "_from").alias("_border"),
             )
         )
-        # one row per stratum, small enough to be seen as such by the planner
-        self._cuts = materialize(cuts, "cuts")
+        return materialize(cuts, "cuts")
+
+    def _border_size(self) -> int | None:
+        return self._cuts.agg(F.max("_border")).first()[0]
+
+    def _placed(self) -> DataFrame:
+        cuts = self._cuts.select("_s", "_low", "_take")
+        if self._single:
+            return self._keyed.withColumns({c: cuts.select(c).scalar() for c in ("_low", "_take")})
+        return self._keyed.join(cuts, F.col("_stratum") == F.col("_s"), "left").drop("_s")
+
+    def _in_border(self) -> Column:
+        return (F.col("_key") >= F.col("_low")) & (F.col("_key") < F.col("_low") + self._width)
 
     def quota_total(self) -> Column:
         return self._cuts.agg(F.sum("_quota")).scalar()
 
     def marked(self) -> DataFrame:
-        cuts = self._cuts.drop("_quota")
-        placed = self._keyed.join(cuts, F.col("_stratum") == F.col("_s"), "left")
-        in_cut = F.col("_bucket") == F.col("_cut")
-        clear = placed.where(~F.coalesce(in_cut, F.lit(False))).withColumn(
-            "selected", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
+        """All rows with ``selected``."""
+        placed, inside = self._placed(), F.coalesce(self._in_border(), F.lit(False))
+        clear = placed.where(~inside).withColumn(
+            "selected", F.coalesce(F.col("_key") < F.col("_low"), F.lit(False))
         )
         rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_key", self._id))
-        border = placed.where(in_cut).withColumn("selected", rank <= F.col("_take"))
-        return clear.unionByName(border).drop(
-            "_stratum", "_key", "_bucket", "_s", "_cut", "_take"
-        )
+        border = placed.where(inside).withColumn("selected", rank <= F.col("_take"))
+        return clear.unionByName(border).drop("_stratum", "_key", "_low", "_take")
 
 
 def _at_most(n: int | Column) -> Callable[[DataFrame], DataFrame]:
@@ -94,7 +121,7 @@ def _at_most(n: int | Column) -> Callable[[DataFrame], DataFrame]:
 
 def random_sample(df: DataFrame, n: int | Column, id_col: str = "post_id", **key) -> DataFrame:
     """Exactly ``min(n, rows)`` rows by hash order."""
-    marked = QuotaSplit(df, F.lit(0), _at_most(n), id_col, **key).marked()
+    marked = QuotaSplit(df, None, _at_most(n), id_col, **key).marked()
     return marked.where("selected").drop("selected")
 
 

@@ -23,8 +23,8 @@ def keyed(df, seed=42):
 
 def test_random_sample_is_the_smallest_keys(spark, skewed):
     want = {r.post_id for r in keyed(skewed)[:777]}
-    for parts in (1, 7):
-        got = P.random_sample(skewed.repartition(parts), 777).collect()
+    for parts, border_rows in ((1, 100000), (7, 0), (3, 1)):
+        got = P.random_sample(skewed.repartition(parts), 777, border_rows=border_rows).collect()
         assert {r.post_id for r in got} == want and len(got) == 777
     assert P.random_sample(skewed, 10**6).count() == 9000
     assert P.random_sample(skewed, 0).count() == 0
@@ -49,8 +49,10 @@ def test_stratified_sample_equals_brute_force(spark, skewed, n):
         room -= quota
     rest = [r.post_id for r in rows if r.post_id not in set(chosen)]
     want = set(chosen + rest[:n - len(chosen)])
-    got = [r.post_id for r in P.stratified_sample(skewed, n).collect()]
-    assert len(got) == n and set(got) == want
+    for border_rows in (100000, 0):
+        sample = P.stratified_sample(skewed, n, border_rows=border_rows)
+        got = [r.post_id for r in sample.collect()]
+        assert len(got) == n and set(got) == want
 
 
 def test_split_is_exact_and_complete(spark, skewed):
