@@ -198,15 +198,13 @@ def as_features(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """Add ``weight`` = n / (classes * class size). The joined table has one row per class."""
-    sizes = df.groupBy(label).agg(rows().alias("_n"))
-    everything = Window.partitionBy()
-    weights = sizes.select(
-        label,
-        (F.sum("_n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_n")))
-        .alias("weight"),
-    )
-    return df.join(F.broadcast(weights), label)
+    """Add ``weight`` = n / (2 * class size) for a 0/1 label, from one aggregation."""
+    positive = F.col(label).cast("int") == 1
+    sizes = df.agg(
+        F.struct(rows().alias("n"), F.count_if(positive).alias("positive"))
+    ).scalar()
+    of_class = F.when(positive, sizes["positive"]).otherwise(sizes["n"] - sizes["positive"])
+    return df.withColumn("weight", sizes["n"] / (2 * of_class))
 
 
 def fit_logistic(train: DataFrame, n: int, label: str = "label", c: float = 1.0) -> PipelineModel:

@@ -14,15 +14,15 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
     """Join on ``key``, splitting hot left keys over ``salts`` tasks.
 
-    A key is hot when it holds more than ``hot_share`` of the left rows, so there
-    are at most ``1 / hot_share`` hot keys and that list is safe to broadcast.
+    A key is hot when it holds more than ``hot_share`` of the left rows with a key,
+    so there are at most ``1 / hot_share`` hot keys: a proven bound for a broadcast.
     Only the right rows of hot keys are repeated. The left side is the preserved
     one: ``how`` is inner or left.
     """
     counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    total = left.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("_n")).scalar()
     hot = F.broadcast(
         counts.where(F.col("_n") > hot_share * total).select("_hot")
     )

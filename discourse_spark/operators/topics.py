@@ -101,11 +101,12 @@ def c_tf_idf(df: DataFrame, topic: str = "topic", text_col: str = "clean_text")
     counts are written once: texts are read a single time.
     """
     counts = materialize(class_terms(df, topic, text_col), "class-terms")
-    sizes = counts.groupBy("topic").agg(F.sum("tf").alias("words"))
-    # one row per term and topic: no term is more frequent than there are topics
+    # one row per topic; once written, its true size lets the planner broadcast it or not
+    sizes = materialize(counts.groupBy("topic").agg(F.sum("tf").alias("words")), "topic-words")
+    # a term has at most one row per topic here, so no term is a hot key
     return (
         counts.join(term_weights(counts), "term")
-        .join(F.broadcast(sizes), "topic")
+        .join(sizes, "topic")
         .select(
             "topic", "term", "tf", "idf",
             (F.col("tf") / F.col("words") * F.col("idf")).alias("score"),
@@ -143,7 +144,7 @@ def topic_names(scores: DataFrame, topics: DataFrame,
 def add_topic_names(df: DataFrame, overrides: Mapping[int, str] | None = None,
                     text_col: str = "clean_text") -> DataFrame:
     names = topic_names(c_tf_idf(df, text_col=text_col), df, overrides)
-    return df.drop("topic_name").join(F.broadcast(names), "topic", "left")
+    return df.drop("topic_name").join(materialize(names, "topic-names"), "topic", "left")
 
 
 def closest_topic(posts: DataFrame, scores: DataFrame, text_col: str = "clean_text",
@@ -153,8 +154,10 @@ def closest_topic(posts: DataFrame, scores: DataFrame, text_col: str = "clean_te
     Frequent words are hot join keys on the post side and are split over tasks.
     """
     known = scores.where(F.col("topic") != OUTLIER)
-    norms = known.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("norm"))
-    directions = known.join(F.broadcast(norms), "topic").select(
+    norms = materialize(
+        known.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("norm")), "topic-norms"
+    )
+    directions = known.join(norms, "topic").select(
         "term", "topic", (F.col("idf") * F.col("score") / F.col("norm")).alias("pull")
     )
     words = F.explode(tokens(F.coalesce(F.col(text_col), F.lit(""))))
@@ -247,16 +250,16 @@ def model_topics(df: DataFrame, k: int = 50, features=None, dims: int = 5,
     """Add topic and topic_name: features, projection, clusters, outliers, merging, names.
 
     Without ``features`` (a column name) texts are hashed into vectors. The
-    clustered table is written once, because the later steps read it several times.
+    projected and the clustered table are written once, because later steps read
+    them several times.
     """
     if features is None:
         source, features = hashed_features().transform(df), "features"
     else:
         source = df
-    reduced = reduce_dims(source, dims, features)
-    clustered = cluster(reduced, k, min_size, seed=seed).select(
-        *[c for c in df.columns if c not in ("topic", "topic_name")], "topic"
-    )
+    kept = [c for c in df.columns if c not in ("topic", "topic_name")]
+    reduced = materialize(reduce_dims(source, dims, features).select(*kept, "reduced"), "reduced")
+    clustered = cluster(reduced, k, min_size, seed=seed).select(*kept, "topic")
     placed = materialize(reduce_outliers(materialize(clustered, "clustered")), "placed")
     merged = merge_topics(placed, topic_similarity(c_tf_idf(placed), k), merge_above)
     return add_topic_names(merged, overrides)

@@ -124,8 +124,8 @@ class LetterEncoder:
 
 
 @query(S.with_clean("SELECT post_id, " + ", ".join(
-    f"round((length(clean_text) - length(replace(clean_text, '{c}', ''))) "
-    f"/ greatest(length(clean_text), 1), 4) AS {c}" for c in "aeiou") + " FROM clean"))
+    f"round(CAST(CAST((length(clean_text) - length(replace(clean_text, '{c}', ''))) "
+    f"/ greatest(length(clean_text), 1) AS FLOAT) AS DOUBLE), 6) AS {c}" for c in "aeiou") + " FROM clean"))
 def embed_texts(spark, sf_dir):
     """Embeddings are cached by id: the second pass only encodes the other half."""
     from discourse_spark.functions.text import clean_text
@@ -140,7 +140,7 @@ def embed_texts(spark, sf_dir):
     cached = C.embedding_cache(source, path, encode)
     return cached.select(
         "post_id",
-        *[F.round(F.col("embedding")[i].cast("double"), 4).alias(c) for i, c in enumerate("aeiou")],
+        *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("aeiou")],
     )
 
 

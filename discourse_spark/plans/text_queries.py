@@ -118,7 +118,7 @@ def truncate_text(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id, quality, coalesce(toxic, 0) AS toxic, 'unknown' AS subreddit,
+@query("""SELECT doc_id, quality::BIGINT AS quality, coalesce(toxic, 0)::BIGINT AS toxic, 'unknown' AS subreddit,
   CAST(NULL AS DOUBLE) AS toxicity FROM labels""")
 def ensure_columns(spark, sf_dir):
     return N.ensure_columns(
@@ -202,7 +202,7 @@ def parse_pattern_list(spark, sf_dir):
     return parsed.withColumn("n", F.size("patterns"))
 
 
-@query("""SELECT count(*) AS n_rows, 5 AS n_columns, round(avg(length(text)), 6) AS mean_length,
+@query("""SELECT count(*) AS n_rows, 5::BIGINT AS n_columns, round(avg(length(text)), 6) AS mean_length,
   count(*) FILTER (WHERE length(text) < 20) AS n_short FROM documents""")
 def profile(spark, sf_dir):
     return N.profile(table(spark, sf_dir, "documents"))
