@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the cores. Every query runs over whole
 tables into a sink that discards rows, so nothing but Spark's work is timed. The
-analysed-posts table that the corpus queries read is timed as ``write_facts``.
+three tables that several queries read are timed on their own (``write_...``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import time
 
 from discourse_spark.plans import all_queries
 from discourse_spark.plans.corpus import facts
-from discourse_spark.plans.model_queries import cleaned
+from discourse_spark.plans.model_queries import cleaned, topic_scores
 from discourse_spark.session import local_session
 
 HEADLINE = [
@@ -45,6 +45,7 @@ def main() -> None:
     seconds = {
         "write_facts": timed(lambda: facts(spark, sf_dir)),
         "write_cleaned": timed(lambda: cleaned(spark, sf_dir)),
+        "write_topic_scores": timed(lambda: topic_scores(spark, sf_dir)),
     }
     for name in names:
         def run(name: str = name) -> None:

@@ -172,10 +172,14 @@ def closest_topic(posts: DataFrame, scores: DataFrame, text_col: str = "clean_te
     return similarity.groupBy(id_col).agg(best.alias("closest"))
 
 
-def reduce_outliers(df: DataFrame, text_col: str = "clean_text",
-                    id_col: str = "post_id") -> DataFrame:
-    """Give each outlier the topic closest by c-TF-IDF; without known terms it stays -1."""
-    scores = c_tf_idf(df, text_col=text_col)
+def reduce_outliers(df: DataFrame, scores: DataFrame | None = None,
+                    text_col: str = "clean_text", id_col: str = "post_id") -> DataFrame:
+    """Give each outlier the topic closest by c-TF-IDF; without known terms it stays -1.
+
+    ``scores`` are the c-TF-IDF scores of ``df`` if they are at hand.
+    """
+    if scores is None:
+        scores = c_tf_idf(df, text_col=text_col)
     outliers = df.where(F.col("topic") == OUTLIER)
     found = closest_topic(outliers, scores, text_col, id_col)
     moved = outliers.join(found, id_col, "left").withColumn(

@@ -43,6 +43,7 @@ CALENDAR = [
 ]
 
 SMALL_INPUT_BYTES = 1 << 30
+_sizes: dict[tuple[str, ...], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +57,14 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     left alone: the files' sizes, not a guess, decide.
     """
     spark = df.sparkSession
-    files = df.inputFiles()
+    files = tuple(df.inputFiles())
     cores = spark.sparkContext.defaultParallelism
     if len(files) >= cores:
         return df
-    sizes = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    return df.repartition(cores) if sizes < SMALL_INPUT_BYTES else df
+    if files not in _sizes:
+        lengths = spark.read.format("binaryFile").load(list(files)).agg(F.sum("length"))
+        _sizes[files] = lengths.first()[0]
+    return df.repartition(cores) if _sizes[files] < SMALL_INPUT_BYTES else df
 
 
 def posts(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
@@ -102,7 +105,10 @@ def posts(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
 
 
 def calendar(spark: SparkSession) -> DataFrame:
-    raw = spark.createDataFrame(CALENDAR, "date string, title string, category string, country string")
+    """The event calendar as literals, whose size the planner knows."""
+    names = ["date", "title", "category", "country"]
+    entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in CALENDAR]
+    raw = spark.range(1).select(F.inline(F.array(*entries)))
     return raw.withColumn("date", F.col("date").cast("date"))
 
 

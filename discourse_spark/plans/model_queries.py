@@ -27,6 +27,17 @@ def cleaned(spark, sf_dir):
     return _cleaned[key]
 
 
+_scored = {}
+
+
+def topic_scores(spark, sf_dir):
+    """c-TF-IDF of the corpus, written once for naming, outliers and similarity."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _scored:
+        _scored[key] = materialize(B.c_tf_idf(cleaned(spark, sf_dir)), "scores")
+    return _scored[key]
+
+
 _TERMS = """words_ AS (SELECT post_id, regexp_extract_all(clean_text, '[a-z0-9_]{2,}') AS w FROM clean),
 grams AS (SELECT post_id, unnest(w) AS term FROM words_ UNION ALL
   SELECT post_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM words_),
@@ -196,7 +207,7 @@ SELECT topic, CASE topic WHEN -1 THEN 'outlier' WHEN 3 THEN 'manual name' ELSE w
 FROM names"""))
 def topic_name(spark, sf_dir):
     posts = cleaned(spark, sf_dir)
-    return B.topic_names(B.c_tf_idf(posts), posts, overrides={3: "manual name"})
+    return B.topic_names(topic_scores(spark, sf_dir), posts, overrides={3: "manual name"})
 
 
 @query(S.with_posts("""SELECT topic, count(*) AS n,
@@ -264,7 +275,7 @@ SELECT c.post_id, CASE WHEN c.topic <> -1 THEN c.topic ELSE coalesce(b.topic, -1
 FROM clean c LEFT JOIN best b ON b.post_id = c.post_id AND r = 1"""))
 def reduce_outliers(spark, sf_dir):
     texts = cleaned(spark, sf_dir).select("post_id", "topic", "clean_text")
-    return B.reduce_outliers(texts).select("post_id", "topic")
+    return B.reduce_outliers(texts, topic_scores(spark, sf_dir)).select("post_id", "topic")
 
 
 @query(S.with_clean("""words_ AS (SELECT topic, unnest(regexp_extract_all(clean_text, '[a-z0-9_]{2,}')) AS term
@@ -279,14 +290,14 @@ SELECT x.topic AS a, y.topic AS b, round(sum(x.score * y.score) / any_value(p.no
 FROM scores x JOIN scores y ON x.term = y.term AND x.topic < y.topic
 JOIN norms p ON p.topic = x.topic JOIN norms q ON q.topic = y.topic GROUP BY x.topic, y.topic"""))
 def topic_similarity(spark, sf_dir):
-    return B.topic_similarity(B.c_tf_idf(cleaned(spark, sf_dir)), k=12)
+    return B.topic_similarity(topic_scores(spark, sf_dir), k=12)
 
 
 @query()
 def merge_topics(spark, sf_dir):
     """Topic sizes after merging similar topics."""
     posts = cleaned(spark, sf_dir)
-    similarity = B.topic_similarity(B.c_tf_idf(posts), k=12)
+    similarity = B.topic_similarity(topic_scores(spark, sf_dir), k=12)
     return B.topic_info(B.merge_topics(posts, similarity, threshold=0.97))
 
 

@@ -69,6 +69,17 @@ def test_corpus_queries_use_no_python(spark, sf_dir):
             assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name
 
 
+def test_texts_are_not_shuffled_to_meet_a_calendar(spark, sf_dir, calendar, tmp_path):
+    """Literal calendars, and those read from files, are known to be small when planning."""
+    from discourse_spark.sources import posts as IO
+
+    posts = corpus.posts(spark, sf_dir, spread=False)
+    IO.write_table(calendar.selectExpr("*", "'' AS region", "'' AS source"), f"{tmp_path}/c.csv")
+    for events in (calendar, IO.read_calendar_events(spark, f"{tmp_path}/c.csv")):
+        plan = plan_of(E.event_window_sample(posts, events, years=(2024, 2024)), "simple")
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_registry_is_complete():
     assert set(all_sql()) <= set(all_queries())
     assert not [n for n in all_queries() if "pipeline" in n or re.match(r"op\d", n)]
