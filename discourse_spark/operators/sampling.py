@@ -18,6 +18,7 @@ from discourse_spark.session import materialize
 
 BUCKETS = 4096
 BORDER_ROWS = 100_000
+SMALL_LIMIT = 10_000
 KEY_SPACE = 1 << 40
 
 
@@ -26,11 +27,6 @@ def hash_key(seed: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(KEY_SPACE))
 
 
-def take_first(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows in an explicit order."""
-    return df.orderBy(*order).limit(n)
-
-
 class QuotaSplit:
     """Marks, in each stratum, the ``quota`` rows with the smallest hash keys.
 
@@ -125,6 +121,21 @@ def random_sample(df: DataFrame, n: int | Column, id_col: str = "post_id", **key
     return marked.where("selected").drop("selected")
 
 
+def take_first(df: DataFrame, n: int, id_col: str = "post_id") -> DataFrame:
+    """The first ``n`` rows by id.
+
+    A small ``n`` is a bounded sort in each task and one merge. A large one would
+    make that merge heavy, so ids are treated as keys and cut like a sample.
+    """
+    if n <= SMALL_LIMIT:
+        return df.orderBy(id_col).limit(n)
+    ends = df.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
+    if ends["low"] is None:
+        return df
+    key = F.col(id_col) - ends["low"]
+    return random_sample(df, n, id_col, key=key, key_space=ends["high"] - ends["low"] + 1)
+
+
 def sample_quotas(sizes: DataFrame, n: int) -> DataFrame:
     """``min(size, max(1, int(n * size / total)))`` per stratum, cut at ``n`` in name order.
 

@@ -19,7 +19,7 @@ def _key():
 
 @query(S.with_posts("SELECT post_id, dataset FROM posts ORDER BY post_id LIMIT 100"))
 def take_rows(spark, sf_dir):
-    return P.take_first(facts(spark, sf_dir).select("post_id", "dataset"), 100, "post_id")
+    return P.take_first(facts(spark, sf_dir).select("post_id", "dataset"), 100)
 
 
 @query(S.with_posts(f"SELECT post_id, dataset FROM posts ORDER BY {HASH}, post_id LIMIT 100"))

@@ -65,5 +65,10 @@ def test_split_is_exact_and_complete(spark, skewed):
     assert split.exceptAll(again).isEmpty()
 
 
-def test_take_first(spark, skewed):
-    assert [r.post_id for r in P.take_first(skewed, 3, "post_id").collect()] == [0, 1, 2]
+def test_take_first(spark, skewed, monkeypatch):
+    want = list(range(5000))
+    assert sorted(r.post_id for r in P.take_first(skewed, 5000).collect()) == want
+    monkeypatch.setattr(P, "SMALL_LIMIT", 10)
+    assert sorted(r.post_id for r in P.take_first(skewed, 5000).collect()) == want
+    assert P.take_first(skewed.where("post_id < 0"), 5000).isEmpty()
+    assert [r.post_id for r in P.take_first(skewed, 3).collect()] == [0, 1, 2]
