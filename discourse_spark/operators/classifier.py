@@ -43,18 +43,19 @@ def with_grams(df: DataFrame, text_col: str = "clean_text", name: str = "grams")
 
 
 def term_statistics(df: DataFrame, text_col: str = "clean_text") -> DataFrame:
-    """Per term: total frequency and number of posts, in one scan and one shuffle."""
-    marked = F.concat(
-        F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(False).alias("first"))),
-        F.transform(
-            F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("first"))
-        ),
-    )
+    """Per term: total frequency and number of posts, in one scan and one shuffle.
+
+    In a sorted row a term's first occurrence is the one that differs from the
+    entry before it, so every occurrence is exploded once.
+    """
+    ordered = with_grams(df.select(text_col), text_col, "g").select(F.sort_array("g").alias("g"))
+    shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("g"))
+    pairs = ordered.select(F.inline(F.arrays_zip("g", shifted))).toDF("term", "before")
+    first = F.col("before").isNull() | (F.col("before") != F.col("term"))
     return (
-        with_grams(df.select(text_col), text_col, "g")
-        .select(F.inline(marked))
+        pairs.where(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.count_if(~F.col("first")).alias("tf"), F.count_if("first").alias("df"))
+        .agg(rows().alias("tf"), F.count_if(first).alias("df"))
     )
 
 
