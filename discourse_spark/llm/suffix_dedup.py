@@ -42,6 +42,7 @@ GRAM = 24  # 8 + 16, as the hashing below doubles
 GROUP_BYTES = 16 << 20  # texts in a group of documents
 CHUNK = 1 << 20  # bytes hashed at once
 BLOCK = 4 << 20  # bytes of runs sorted at once
+LEVEL = 3  # of the compression in which texts travel
 HOT = 2_000  # documents with one name from which its windows are dealt singly
 
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -113,19 +114,41 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [unpack.decompress(z) for z in table.column("packed").to_pylist()]
 
 
+def _press(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpress(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _slim(values: np.ndarray, flags: np.ndarray) -> bytes:
-    """Six bytes of each value, then one byte of each flag."""
+    """Six bytes of each value and one byte of each flag, place by place: of sorted values the
+    first places hardly change from one to the next."""
     low = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-    return low.tobytes() + flags.astype(np.uint8).tobytes()
+    return _press(np.ascontiguousarray(low.T).tobytes() + flags.astype(np.uint8).tobytes())
 
 
 def _unslim(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = _unpress(data)
     n = len(data) // 7
     wide = np.zeros((n, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(data, dtype=np.uint8, count=6 * n).reshape(n, 6)
+    wide[:, :6] = np.frombuffer(data, dtype=np.uint8, count=6 * n).reshape(6, n).T
     return wide.view("<u8").ravel().astype(np.uint64), np.frombuffer(data, dtype=np.uint8, offset=6 * n)
 
 
+def _planes(array: np.ndarray) -> bytes:
+    """A column of numbers or bytes, compressed; numbers place by place."""
+    places = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1)
+    return _press(np.ascontiguousarray(places.T).tobytes())
+
+
+def _column(parts: list[bytes], kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    plain = [np.frombuffer(_unpress(p), dtype=np.uint8).reshape(width, -1).T for p in parts]
+    return np.ascontiguousarray(np.concatenate(plain)).view(kind).ravel() if plain else np.zeros(0, dtype=kind)
+
+
 def _split(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each name and what is left of it within the bucket, 48 bits."""
     return names % np.uint64(buckets), (names // np.uint64(buckets)) & _LOW48
@@ -189,13 +212,18 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("g", pa.int64()), ("key", pa.int64()), ("names", pa.binary())]))
 
 
-_SENT = "kind int, key long, g long, name binary, row binary, owner binary, start binary, count binary, body binary"
+_SENT = "kind int, key long, g long, n long, name binary, row binary, owner binary, start binary, count binary, body binary"
 _SENT_ARROW = pa.schema([
-    ("kind", pa.int32()), ("key", pa.int64()), ("g", pa.int64()),
+    ("kind", pa.int32()), ("key", pa.int64()), ("g", pa.int64()), ("n", pa.int64()),
     *[(c, pa.binary()) for c in ("name", "row", "owner", "start", "count", "body")],
 ])
 
 
+def _numbers(table: pa.Table) -> np.ndarray:
+    """The number of each row within its group, by its hash. Equal rows share one."""
+    return np.unique(table.column("rid").to_numpy(), return_inverse=True)[1].astype(np.int64)
+
+
 def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All positions of the given ranges, one range after the other."""
     offsets = np.concatenate(([0], np.cumsum(length)))
@@ -217,7 +245,7 @@ def _send(buckets: int, span: int):
         wanted, hot = np.concatenate(wanted), np.concatenate(hot)
         order = np.argsort(wanted, kind="stable")
         wanted, hot = wanted[order], hot[order] > 0
-        rows, owners = table.column("rid").to_numpy(), table.column("row_id").to_numpy()
+        rows, owners = _numbers(table), table.column("row_id").to_numpy()
         g = table.column("g")[0].as_py()
         found = []
         for buffer, starts, text, offset in chunks(_texts(table), span):
@@ -265,10 +293,10 @@ def _send(buckets: int, span: int):
 
 
 def _add(out: dict, kind: int, key: int, g: int, *arrays: np.ndarray | None) -> None:
-    for column, value in zip(("kind", "key", "g"), (kind, key, g)):
+    for column, value in zip(("kind", "key", "g", "n"), (kind, key, g, len(arrays[1]))):
         out[column].append(value)
     for column, array in zip(("name", "row", "owner", "start", "count", "body"), arrays):
-        out[column].append(None if array is None else array.tobytes())
+        out[column].append(None if array is None else _planes(array))
 
 
 _SPANS = pa.schema([("g", pa.int64()), ("row", pa.binary()), ("start", pa.binary()), ("count", pa.binary())])
@@ -279,11 +307,11 @@ def _sorted_bucket(span: int):
 
     def decide(table: pa.Table) -> pa.Table:
         read = {
-            c: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
+            c: _column(table.column(c).to_pylist(), kind)
             for c, kind in (("name", np.uint64), ("row", np.int64), ("owner", np.int64),
                             ("start", np.int64), ("count", np.int64), ("body", np.uint8))
         }
-        sizes = [len(x) // 8 for x in table.column("name").to_pylist()]
+        sizes = table.column("n").to_numpy()
         group = np.repeat(table.column("g").to_numpy(), sizes)
         length = read["count"] + span - 1
         body_at = np.concatenate(([0], np.cumsum(length)))[:-1]
@@ -301,7 +329,7 @@ def _sorted_bucket(span: int):
         for g, at in _by_bucket(gone[:, 0]):
             out["g"].append(g)
             for k, column in enumerate(("row", "start", "count"), 1):
-                out[column].append(np.ascontiguousarray(gone[at, k]).tobytes())
+                out[column].append(_planes(gone[at, k].copy()))
         return pa.table(out, schema=_SPANS)
 
     return decide
@@ -372,13 +400,13 @@ _RESULT = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.in
 def _apply(given: list[str], keep_text: bool):
     def apply(table: pa.Table, spans: pa.Table) -> pa.Table:
         row, start, end = (
-            np.frombuffer(b"".join(spans.column(c).to_pylist()), dtype=np.int64)
+            _column(spans.column(c).to_pylist(), np.int64)
             for c in ("row", "start", "count")
         )
         order = np.argsort(row, kind="stable")
         row, start, end = row[order], start[order], end[order]
-        rids = table.column("rid").to_numpy()
-        first, last = np.searchsorted(row, rids), np.searchsorted(row, rids, side="right")
+        numbers = _numbers(table)
+        first, last = np.searchsorted(row, numbers), np.searchsorted(row, numbers, side="right")
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
         for text, a, b in zip(_texts(table), first.tolist(), last.tolist()):
             kept, n = _cut(text, start[a:b], end[a:b]) if b > a else (text, 0)
@@ -394,7 +422,7 @@ def _apply(given: list[str], keep_text: bool):
 
 
 def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=LEVEL)
     for part in parts:
         at = part.schema.get_field_index("text")
         texts = part.column(at).to_pylist()
