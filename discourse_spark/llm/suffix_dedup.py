@@ -39,11 +39,11 @@ from discourse_spark.llm.words import BASE, BYTE_VALUES, mix, span_hashes
 
 SPAN = 50
 GRAM = 24  # 8 + 16, as the hashing below doubles
-GROUP_BYTES = 16 << 20  # texts in a group of documents
+GROUP_BYTES = 8 << 20  # texts in a group of documents
 CHUNK = 1 << 20  # bytes hashed at once
-BLOCK = 4 << 20  # bytes of runs sorted at once
+BLOCK = 1 << 20  # bytes of runs sorted at once
 LEVEL = 3  # of the compression in which texts travel
-HOT = 2_000  # documents with one name from which its windows are dealt singly
+HOT = 2_000  # occurrences of one name from which its windows are dealt singly
 
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -162,7 +162,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _names_of(buckets: int, span: int):
-    """For each group of documents: its names, with the number of documents that have each."""
+    """For each group of documents: its names, with how often several documents have each."""
 
     def names(table: pa.Table) -> pa.Table:
         rows = table.column("row_id").to_numpy()
@@ -174,12 +174,12 @@ def _names_of(buckets: int, span: int):
         out = {"key": [], "g": [], "names": []}
         if found:
             name, owner = np.concatenate(found), np.concatenate(owner)
-            order = np.lexsort((owner, name))
+            order = np.argsort(name)
             name, owner = name[order], owner[order]
-            first = np.append(True, name[1:] != name[:-1])
-            other = first | np.append(True, owner[1:] != owner[:-1])
-            begin = np.flatnonzero(first)
-            documents = np.minimum(np.add.reduceat(other, begin), 255)
+            begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            times = np.minimum(np.diff(np.append(begin, len(name))), 255)
+            several = np.maximum.reduceat(owner, begin) > np.minimum.reduceat(owner, begin)
+            documents = np.where(several, times, 1)
             bucket, rest = _split(name[begin], buckets)
             for key, at in _by_bucket(bucket):
                 out["key"].append(key)
@@ -275,10 +275,10 @@ def _send(buckets: int, span: int):
         body = np.concatenate([f[6] for f in found])
         length = count + span - 1
         body_at = np.concatenate(([0], np.cumsum(length)))[:-1]
-        order = np.lexsort((owner, count, name, content))
-        first = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (content, name, count)], axis=0))
+        order = np.argsort(content)
+        first = np.append(True, content[order][1:] != content[order][:-1])
         lowest = np.empty(len(order), dtype=np.int64)
-        lowest[order] = owner[order][first][np.cumsum(first) - 1]
+        lowest[order] = np.minimum.reduceat(owner[order], np.flatnonzero(first))[np.cumsum(first) - 1]
         gone = np.flatnonzero(owner > lowest)
         if len(gone):
             _add(out, 1, g, g, None, row[gone], None, start[gone], start[gone] + length[gone], None)
@@ -365,7 +365,7 @@ def _block_spans(read: dict, group: np.ndarray, body_at: np.ndarray, length: np.
     owner_at[positions] = read["owner"][block][run]
     leading = leading_words(text)
     removed = np.zeros(len(text) + 1, dtype=bool)
-    for ordered in sorted_buckets(text, positions, leading, sample_ranks(leading)):
+    for ordered in sorted_buckets(text, positions, leading, sample_ranks(leading, span)):
         begin = np.flatnonzero(equal_runs(leading, ordered, span))
         owner = owner_at[ordered]
         lowest = np.repeat(np.minimum.reduceat(owner, begin), np.diff(np.append(begin, len(ordered))))
