@@ -9,10 +9,11 @@ is confirmed on the full shingle sets.
 No pair list of a group is ever made:
 
 1. Documents with the same words fall together first; one of them stands for all.
-2. In each band bucket every member is compared with the smallest one only.
-3. Where a bucket still holds several components, the members of different
-   components are compared by signature in blocks, and those that look alike are
-   confirmed on their sets. What one bucket holds in one component needs no pair.
+2. In each band bucket every member is compared with one centre only: the member whose
+   bands are shared most, as those of an original are among its edited copies.
+3. Where a bucket still holds several components, its members are compared in blocks, by
+   signature first and then on their sets. A block returns a spanning forest of its
+   links, and a pair is looked at in the first bucket that it shares.
 """
 
 from __future__ import annotations
@@ -72,14 +73,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return values
 
 
-def band_keys(values: np.ndarray) -> list[int]:
-    """One 64-bit key for each band, its number included."""
-    with np.errstate(over="ignore"):
-        parts = values[: BANDS * ROWS].reshape(BANDS, ROWS)
-        h = np.arange(BANDS, dtype=np.uint64)
-        for j in range(ROWS):
-            h = mix(h * np.uint64(0x100000001B3) + parts[:, j])
-    return h.view(np.int64).tolist()
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of each signature (the rows), its number included."""
+    parts = values[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+    h = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(parts), axis=0)
+    for j in range(ROWS):
+        h = mix(h * np.uint64(0x100000001B3) + parts[:, :, j])
+    return h.view(np.int64)
 
 
 def _digest(plain: bytes) -> bytes | None:
@@ -94,7 +94,7 @@ def _hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "row_id": part["row_id"],
             "digest": [_digest(p) for p in plain],
             "n_shingles": [len(s) for s in sets],
-            "keys": [band_keys(signature(s)) if len(s) else [] for s in sets],
+            "keys": [band_keys(signature(s)[None, :])[0].tolist() if len(s) else [] for s in sets],
         })
 
 
@@ -126,25 +126,29 @@ def _confirm(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield part.loc[yes, ["a", "b"]]
 
 
-def _alike(key, members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair that look alike and lie in different components."""
-    _, i, j = key
+def _forest(key, members: pd.DataFrame) -> pd.DataFrame:
+    """Links within one pair of blocks that join components, as few as that takes."""
+    bucket, i, j = key
     signed = np.frombuffer(b"".join(members["signature"]), dtype=np.uint64).reshape(len(members), -1)
-    block, component = members["block"].to_numpy(), members["component"].to_numpy()
+    keys = band_keys(signed)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in members["shingles"]]
+    digests, block = members["digest"].to_numpy(), members["block"].to_numpy()
+    label = np.unique(members["component"].to_numpy(), return_inverse=True)[1]
     one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    pairs = []
+    links = []
     for x in one:
-        others = two[component[two] != component[x]]
+        others = two[label[two] != label[x]]
         if i == j:
             others = others[others > x]
+        shared = keys[others] == keys[x]
+        first = keys[x][shared.argmax(axis=1)] == bucket
         same = (signed[others] == signed[x]).sum(axis=1)
-        near = others[same >= LOOKS_ALIKE * signed.shape[1]]
-        pairs += [(x, y) for y in near.tolist()]
-    digests = members["digest"].to_numpy()
-    return pd.DataFrame({
-        "a": [min(digests[x], digests[y]) for x, y in pairs],
-        "b": [max(digests[x], digests[y]) for x, y in pairs],
-    })
+        near = first & (same >= LOOKS_ALIKE * signed.shape[1])
+        for y in others[near][np.argsort(-same[near], kind="stable")].tolist():
+            if label[x] != label[y] and linked(sets[x], sets[y]):
+                label[label == label[y]] = label[x]
+                links.append((digests[x], digests[y]))
+    return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]})
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -221,12 +225,12 @@ def _labelled(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFr
 def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(digest, component_id) of each class of equal word sequences."""
     bands = classes.select("digest", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(
-        F.min("digest").alias("center"), F.max("digest").alias("last")
-    ).where("center <> last").drop("last")
-    members = written(
-        bands.join(buckets, "key").where("digest <> center"), "members"
-    )
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(bands.join(sizes, "key"), "shared")
+    scores = shared.groupBy("digest").agg(F.sum("n").alias("score"))
+    scored = written(shared.join(scores, "digest").select("key", "digest", "score"), "scored")
+    centres = scored.groupBy("key").agg(F.max(F.struct("score", "digest"))["digest"].alias("center"))
+    members = written(scored.join(centres, "key").where("digest <> center").drop("score"), "members")
     star = members.select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct()
     involved = members.select("digest").union(members.select("center")).distinct()
     sets = written(
@@ -237,7 +241,7 @@ def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
         "sets",
     )
     first = written(_confirmed(star, sets), "links")
-    second = _confirmed(_between(members, sets, components(first)), sets)
+    second = _between(members, sets, components(first))
     found = components(first.union(second))
     labelled = classes.select("digest", "row_id").join(
         found, F.col("digest") == F.col("id"), "left"
@@ -255,8 +259,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _between(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs to confirm among bucket members, other than the bucket's first, that are
-    still in different components. Block pairs bound what one task holds."""
+    """Links among bucket members, other than the bucket's centre, that are still in
+    different components. Block pairs bound what one task holds."""
     placed = members.select("key", "digest").join(
         found, F.col("digest") == F.col("id"), "left"
     ).select("key", "digest", F.coalesce("component", "digest").alias("component"))
@@ -271,6 +275,6 @@ def _between(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                 "block", "digest", "component")
-        .join(sets.select("digest", "signature"), "digest")
+        .join(sets, "digest")
     )
-    return blocked.groupBy("key", "i", "j").applyInPandas(_alike, "a binary, b binary").distinct()
+    return blocked.groupBy("key", "i", "j").applyInPandas(_forest, "a binary, b binary")
