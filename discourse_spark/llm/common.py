@@ -101,6 +101,19 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> list:
+    """At most ``most`` rows with different keys, those with the smallest keys, on the driver.
+
+    Keys alone decide first, so tasks never send more rows than are wanted.
+    """
+    keys = rows.select(key).distinct().orderBy(key).limit(most)
+    cut = keys.agg(F.max(key)).first()[0]
+    if cut is None:
+        return []
+    picked = rows.where(F.col(key) <= cut).dropDuplicates([key]).limit(most).collect()
+    return sorted(picked, key=lambda r: r[key])
+
+
 def id_or_last(column: str = "doc_id"):
     """The id, or the largest possible one for null."""
     return F.coalesce(F.col(column), F.lit(NO_ID))

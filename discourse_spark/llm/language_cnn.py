@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discourse_spark.llm.common import pick
+from discourse_spark.llm.common import bounded_sample, pick
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -135,10 +135,7 @@ def fit(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text
     there are no such rows."""
     rows = pick(labelled, **{lang_column: "string", text_column: "string"}).toDF("lang", "text")
     rows = rows.where("lang is not null and text rlike '[\\\\p{L}]'")
-    picked = (
-        rows.select("lang", F.substring("text", 1, 20_000).alias("text"), F.xxhash64("text").alias("h"))
-        .orderBy("h", "lang").limit(sample).select("lang", "text").collect()
-    )
+    picked = bounded_sample(rows.withColumn("h", F.xxhash64("text", "lang")), "h", sample)
     if not picked:
         return None
     languages = sorted({r["lang"] for r in picked})

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discourse_spark.llm.common import pick, position
+from discourse_spark.llm.common import bounded_sample, pick, position
 from discourse_spark.llm.words import LOWER, batches, span_hashes, words_of
 
 SAMPLE = 8_000  # labelled texts to fit on
@@ -107,17 +107,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs."""
-    text, feature = [], []
+def _pairs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (text, feature) pairs, some texts at a time."""
     for first, last in batches(texts):
         t, _, f = features_of(texts[first:last])
         order = np.lexsort((f, t))
         t, f = t[order], f[order]
-        new = np.append(True, (t[1:] != t[:-1]) | (f[1:] != f[:-1])) if len(t) else np.zeros(0, dtype=bool)
-        text.append(t[new] + first)
-        feature.append(f[new])
-    return np.concatenate(text), np.concatenate(feature)
+        if len(t):
+            new = np.append(True, (t[1:] != t[:-1]) | (f[1:] != f[:-1]))
+            yield t[new] + first, f[new]
+
+
+def _summed(feature: np.ndarray, toxic: np.ndarray, n: np.ndarray):
+    """Totals of equal features."""
+    order = np.argsort(feature)
+    feature = feature[order]
+    first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
+    return feature[first], np.add.reduceat(toxic[order], first), np.add.reduceat(n[order], first)
 
 
 def fit_texts(texts: list[str], toxic: list[int], terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS,
@@ -128,24 +134,34 @@ def fit_texts(texts: list[str], toxic: list[int], terms: dict[str, tuple[str, ..
     bias = float(np.log(rate / (1 - rate)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), bias)
-    text, feature = _pairs([plain(t) for t in texts])
+    plain_texts = [plain(t) for t in texts]
     swaps = Swaps(terms)
-    known = _associated(text, feature, y, swaps.all)
-    at = np.minimum(np.searchsorted(known, feature), len(known) - 1)
-    there = known[at] == feature
-    text, column = text[there], at[there]
+    known = _associated(plain_texts, y, swaps.all)
+    if not len(known):
+        return Model(known, np.zeros(0), bias)
+    rows, columns = [], []
+    for text, feature in _pairs(plain_texts):
+        at = np.minimum(np.searchsorted(known, feature), len(known) - 1)
+        there = known[at] == feature
+        rows.append(text[there])
+        columns.append(at[there])
+    text, column = np.concatenate(rows), np.concatenate(columns)
     twin, old, new = _twins(text, column, known, swaps)
     return Model(known, *_descend(text, column, y, len(known), bias, (twin, old, new), penalty))
 
 
-def _associated(text: np.ndarray, feature: np.ndarray, y: np.ndarray, always: np.ndarray) -> np.ndarray:
+def _associated(texts: list[bytes], y: np.ndarray, always: np.ndarray) -> np.ndarray:
     """The features that tell most about the label, and the identity terms that occur."""
-    order = np.argsort(feature, kind="stable")
-    feature, label = feature[order], y[text[order]]
-    first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
-    distinct = feature[first]
-    toxic = np.add.reduceat(label, first)
-    n = np.diff(np.append(first, len(feature)))
+    parts, size = [], 0
+    for text, feature in _pairs(texts):
+        parts.append(_summed(feature, y[text], np.ones(len(text))))
+        size += len(parts[-1][0])
+        if size > 2_000_000:  # totals so far, so that memory follows the distinct features
+            parts = [_summed(*(np.concatenate([p[k] for p in parts]) for k in range(3)))]
+            size = 0
+    if not parts:
+        return np.zeros(0, dtype=np.uint64)
+    distinct, toxic, n = _summed(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
     expected = n * y.mean()
     surprise = (toxic - expected) ** 2 / (expected * (1 - n / (len(y) + 1)) + 1)
     surprise[n < LEAST_TEXTS] = -1
@@ -204,11 +220,8 @@ def fit(labelled: DataFrame, label_column: str = "toxic", text_column: str = "te
     """Fit on at most ``sample`` rows that have a text and a label 0 or 1, chosen by a hash
     of the text, so that equal tables give equal models."""
     rows = pick(labelled, **{label_column: "int", text_column: "string"}).toDF("toxic", "text")
-    picked = (
-        rows.where("toxic in (0, 1) and text is not null")
-        .withColumn("h", F.xxhash64("text")).orderBy("h", "toxic").limit(sample)
-        .select("toxic", "text").collect()
-    )
+    known = rows.where("toxic in (0, 1) and text is not null")
+    picked = bounded_sample(known.withColumn("h", F.xxhash64("text", "toxic")), "h", sample)
     return fit_texts([r["text"] for r in picked], [r["toxic"] for r in picked], penalty=penalty)
 
 
