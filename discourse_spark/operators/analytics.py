@@ -213,9 +213,13 @@ def emotion_by_dataset(posts: DataFrame, top: int = 15) -> DataFrame:
     )
 
 
-def emotion_heatmap(posts: DataFrame, datasets: Sequence[str], top: int = 15) -> DataFrame:
-    """The heat map with one column per named dataset; absent cells are 0."""
+def emotion_heatmap(posts: DataFrame, datasets: Sequence[str] | None = None,
+                    top: int = 15) -> DataFrame:
+    """The heat map with one column per dataset, of all or of those named; absent cells are 0."""
     long = emotion_by_dataset(posts, top)
+    if datasets is None:
+        names = posts.select(dataset_short_name(F.col("dataset")).alias("short")).distinct()
+        datasets = sorted(r.short for r in names.collect() if r.short is not None)
     return long.groupBy("emotion").pivot("short", list(datasets)).agg(F.first("pct")).fillna(
         0.0, list(datasets)
     )

@@ -43,9 +43,14 @@ def rename_text(df: DataFrame, column: str | None) -> DataFrame:
     """Make ``column`` the ``text`` column; without one, ``text`` is empty."""
     if column is None:
         return df.withColumn("text", F.lit(""))
-    if column == "text":
-        return df
-    return df.drop("text").withColumnRenamed(column, "text")
+    names = df.columns
+    taken = names.index(column)
+    # by position: names that differ in case only are one name to Spark
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+    return plain.select(*[
+        F.col(f"_{i}").alias("text" if i == taken else name)
+        for i, name in enumerate(names) if i == taken or name.lower() != "text"
+    ])
 
 
 def ensure_columns(df: DataFrame, defaults: Mapping[str, tuple[str, object]],
@@ -225,4 +230,5 @@ def replace_dataset(existing: DataFrame, new: DataFrame, label: str) -> DataFram
 
 
 def remove_dataset(existing: DataFrame, label: str) -> DataFrame:
-    return existing.where(F.col("dataset") != label)
+    """Rows of all other datasets, those without a dataset included."""
+    return existing.where(~F.col("dataset").eqNullSafe(label))

@@ -43,11 +43,14 @@ class KeywordScorer:
         return results
 
 
+FAILED: dict[str, float] = {"": float("nan")}  # told by identity, not by content
+
+
 def _score_series(series: pd.Series, scorer: Scorer, batch_size: int,
                   keep_going: bool) -> list[dict[str, float] | None]:
     """One result per text, in batches of present texts.
 
-    None stands for an absent text, an empty dictionary for a failed batch.
+    None stands for an absent text, FAILED for a text of a failed batch.
     """
     texts = series.tolist()
     present = [i for i, text in enumerate(texts) if text is not None]
@@ -59,7 +62,7 @@ def _score_series(series: pd.Series, scorer: Scorer, batch_size: int,
         except Exception:
             if not keep_going:
                 raise
-            scored = [{}] * len(places)
+            scored = [FAILED] * len(places)
         for i, result in zip(places, scored):
             results[i] = result
     return results
@@ -80,7 +83,7 @@ def scores_of(text: Column, load: Callable[[], Scorer], label_map: Mapping[str,
         scorer = load()
         for series in batches:
             table = [
-                [float(result.get(label, 0.0)) if result else None for label in label_map]
+                [float(result.get(label, 0.0)) if result is not None and result is not FAILED else None for label in label_map]
                 for result in _score_series(series, scorer, batch_size, keep_going)
             ]
             out = pd.DataFrame(table, columns=names, dtype="float64")
@@ -101,7 +104,7 @@ def top1_of(text: Column, load: Callable[[], Scorer], batch_size: int = 32,
             for result in _score_series(series, scorer, batch_size, keep_going):
                 if result is None:
                     best_of.append((None, None))
-                elif not result:
+                elif result is FAILED or not result:
                     best_of.append(("neutral", 0.0))
                 else:
                     best_of.append(min(result.items(), key=lambda kv: (-kv[1], kv[0])))

@@ -235,12 +235,12 @@ def events_in_range(events: DataFrame, posts: DataFrame, date_col: str = "post_d
 
 def event_window_sample(posts: DataFrame, events: DataFrame, days: int = 30, per_window: int = 50,
                         subreddits: Sequence[str] = EVENT_SUBREDDITS, years=(2020, 2023),
-                        id_col: str = "post_id") -> DataFrame:
+                        id_col: str = "post_id", prefix: int | None = None) -> DataFrame:
     """The earliest posts of each board in each event's window, without repeats.
 
     The rank limit is a literal, so Spark trims every group before the shuffle.
-    Posts repeat when text start and time agree; the copy of the earliest event
-    stays.
+    Posts repeat when text and time agree, with ``prefix`` the start of the text; the
+    copy of the earliest event stays.
     """
     kept = posts.where(
         F.col("subreddit").isin(list(subreddits))
@@ -255,7 +255,8 @@ def event_window_sample(posts: DataFrame, events: DataFrame, days: int = 30, per
     capped = in_window.withColumn("_rank", F.row_number().over(per_board)).where(
         F.col("_rank") <= per_window
     )
-    copies = Window.partitionBy(F.substring("text", 1, 60), "created_utc").orderBy(
+    same = F.col("text") if prefix is None else F.substring("text", 1, prefix)
+    copies = Window.partitionBy(same, "created_utc").orderBy(
         "event_date", "title", id_col
     )
     return (
@@ -265,20 +266,26 @@ def event_window_sample(posts: DataFrame, events: DataFrame, days: int = 30, per
     )
 
 
-def date_lookup(forum: DataFrame, subreddits: Sequence[str], prefix: int = 80) -> DataFrame:
+def _date_key(text: Column, prefix: int | None) -> Column:
+    """The text in lower case, with ``prefix`` only its start."""
+    text = F.lower(F.trim(text))
+    return text if prefix is None else F.substring(text, 1, prefix)
+
+
+def date_lookup(forum: DataFrame, subreddits: Sequence[str], prefix: int | None = None) -> DataFrame:
     """``key -> post_date`` from a raw forum dump; the latest row of a key wins."""
     text = merge_title_body(F.col("title"), F.col("selftext"))
     epoch = F.col("created_utc").try_cast("double")
     return (
         forum.where(F.col("subreddit").isin(list(subreddits)) & epoch.isNotNull())
-        .groupBy(F.lower(F.substring(text, 1, prefix)).alias("date_key"))
+        .groupBy(_date_key(text, prefix).alias("date_key"))
         .agg(F.max_by(F.timestamp_seconds(epoch), "ord").alias("found_date"))
     )
 
 
-def patch_dates(posts: DataFrame, lookup: DataFrame, source: str = "reddit", prefix: int = 80,
+def patch_dates(posts: DataFrame, lookup: DataFrame, source: str = "reddit", prefix: int | None = None,
                 id_col: str = "post_id") -> DataFrame:
-    """Set post_date of one source's posts from ``lookup`` by the start of their text.
+    """Set post_date of one source's posts from ``lookup`` by their text, or its start.
 
     Only that source is joined. Short or empty texts share keys, so the join
     splits frequent ones.
@@ -286,9 +293,7 @@ def patch_dates(posts: DataFrame, lookup: DataFrame, source: str = "reddit", pre
     if "post_date" not in posts.columns:
         posts = posts.withColumn("post_date", F.lit(None).cast("timestamp"))
     of_source = F.coalesce(F.col("source") == source, F.lit(False))
-    keyed = posts.where(of_source).withColumn(
-        "date_key", F.lower(F.substring("text", 1, prefix))
-    )
+    keyed = posts.where(of_source).withColumn("date_key", _date_key(F.col("text"), prefix))
     patched = salted_join(keyed, lookup, "date_key", "left", spread_by=id_col).withColumn(
         "post_date", F.col("found_date")
     )

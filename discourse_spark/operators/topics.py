@@ -185,15 +185,18 @@ def reduce_outliers(df: DataFrame, scores: DataFrame | None = None,
     moved = outliers.join(found, id_col, "left").withColumn(
         "topic", F.coalesce(F.col("closest"), F.lit(OUTLIER)).cast("int")
     )
-    return df.where(F.col("topic") != OUTLIER).unionByName(moved.select(*df.columns))
+    return df.where(~F.col("topic").eqNullSafe(OUTLIER)).unionByName(moved.select(*df.columns))
 
 
 def topic_similarity(scores: DataFrame, k: int) -> DataFrame:
-    """Cosine of every two of the ``k`` topics (a < b).
+    """Cosine of every two of the ``k`` topics (a < b); topics beyond ``k`` are an error.
 
     Each task adds up one ``k x k`` matrix over its terms, so what is shuffled is
     a matrix per task, not pairs per term.
     """
+    largest = scores.agg(F.max("topic")).first()[0]
+    if largest is not None and largest >= k:
+        raise ValueError(f"topic {largest} is not among the first {k}")
     by_term = (
         scores.where(F.col("topic") != OUTLIER)
         .groupBy("term")

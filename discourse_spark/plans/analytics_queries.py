@@ -113,9 +113,10 @@ def emotion_by_dataset(spark, sf_dir):
 @query(S.with_facts(f"""{_EMOTION_SHARES} SELECT emotion,
   round(coalesce(max(pct) FILTER (WHERE short = 'tw_a'), 0), 6) AS tw_a,
   round(coalesce(max(pct) FILTER (WHERE short = 'tk_b'), 0), 6) AS tk_b,
-  round(coalesce(max(pct) FILTER (WHERE short = 'ig_c'), 0), 6) AS ig_c FROM cells GROUP BY emotion"""))
+  round(coalesce(max(pct) FILTER (WHERE short = 'ig_c'), 0), 6) AS ig_c,
+  round(coalesce(max(pct) FILTER (WHERE short = 'dataset_final'), 0), 6) AS dataset_final FROM cells GROUP BY emotion"""))
 def emotion_heatmap(spark, sf_dir):
-    return A.emotion_heatmap(facts(spark, sf_dir), ["tw_a", "tk_b", "ig_c"], top=4)
+    return A.emotion_heatmap(facts(spark, sf_dir), top=4)
 
 
 @query(S.with_facts(f"""SELECT CAST(sum(othering_predicted) AS BIGINT) AS n_othering, {OTHERING_PCT},

@@ -196,7 +196,7 @@ ranked AS (SELECT s.*, c.title, c.date, row_number() OVER (PARTITION BY c.title,
     ORDER BY created_utc, post_id) AS r
   FROM stamped s JOIN calendar c ON stamp >= c.date - 30 AND stamp <= c.date + 30
   WHERE year(c.date) = 2024),
-copies AS (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 60), created_utc
+copies AS (SELECT *, row_number() OVER (PARTITION BY text, created_utc
     ORDER BY date, title, post_id) AS k FROM ranked WHERE r <= 20)
 SELECT post_id, subreddit, source, title, strftime(date, '%Y-%m-%d') AS event_date,
   strftime(stamp, '%Y-%m-%d %H:%M:%S') AS post_date, CAST(length(text) AS BIGINT) AS n FROM copies WHERE k = 1"""))
@@ -211,14 +211,14 @@ def event_window_sample(spark, sf_dir):
     )
 
 
-@query(S.with_posts("""lookup AS (SELECT lower(substr(text, 1, 80)) AS k,
+@query(S.with_posts("""lookup AS (SELECT lower(trim(text)) AS k,
     arg_max(TIMESTAMP '2023-01-01' + to_days(CAST(post_id % 300 AS INT)), post_id) AS found
   FROM posts WHERE post_id % 2 = 0 GROUP BY 1)
 SELECT post_id, strftime(CASE WHEN source = 'reddit' THEN found ELSE post_date END,
   '%Y-%m-%d %H:%M:%S') AS post_date
-FROM posts LEFT JOIN lookup ON k = lower(substr(text, 1, 80))"""))
+FROM posts LEFT JOIN lookup ON k = lower(trim(text))"""))
 def patch_dates(spark, sf_dir):
-    """Half of the posts, as a raw forum dump, give dates to all that start alike."""
+    """Half of the posts, as a raw forum dump, give dates to all with the same text."""
     target = posts(spark, sf_dir, spread=False)
     dump = target.where(F.col("post_id") % 2 == 0).select(
         F.col("text").alias("title"), F.lit(None).cast("string").alias("selftext"),

@@ -53,7 +53,10 @@ def conform(df: DataFrame) -> DataFrame:
         elif field.name == "post_date":
             new[field.name] = parse_timestamp(column.cast("string"))
         elif isinstance(field.dataType, (T.IntegerType, T.LongType)):
-            new[field.name] = column.try_cast("double").try_cast(field.dataType)
+            # exact first: a double holds no integer beyond 2^53
+            new[field.name] = F.coalesce(
+                column.try_cast(field.dataType), column.try_cast("double").try_cast(field.dataType)
+            )
         else:
             new[field.name] = column.try_cast(field.dataType)
     return df.withColumns(new)
