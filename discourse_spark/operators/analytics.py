@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from discourse_spark.fixed_values import HIGH_TOXICITY
 from discourse_spark.functions.rules import FAMILIES, family_hit
 from discourse_spark.functions.text import dataset_short_name, emotion_valence
+from discourse_spark.operators.ranks import with_running_total
 from discourse_spark.operators.sampling import random_sample
 
 MEDIAN_BINS = 65536
@@ -102,7 +103,7 @@ def exact_median(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0
 
     A histogram of fixed bins (combined before the shuffle, at most MEDIAN_BINS
     rows) locates the one or two bins with the middle ranks; only their distinct
-    values are counted and ranked.
+    values are counted, and ranked in ranges, however many fall into one bin.
     """
     scaled = F.floor((F.col(column) - low) / (high - low) * MEDIAN_BINS)
     bin_of = F.least(F.greatest(scaled, F.lit(0)), F.lit(MEDIAN_BINS - 1))
@@ -121,12 +122,9 @@ def exact_median(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0
         rows().alias("n"), F.first("start").alias("start"),
         F.first("lower").alias("lower"), F.first("upper").alias("upper"),
     )
-    in_bin = (
-        Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = values.withColumn("end", F.col("start") + F.sum("n").over(in_bin)).withColumn(
-        "begin", F.col("end") - F.col("n")
-    )
+    ranked = with_running_total(values, ["v"], "b", F.col("n")).withColumn(
+        "end", F.col("start") + F.col("_running")
+    ).withColumn("begin", F.col("end") - F.col("n"))
 
     def covers(rank: str) -> Column:
         return (F.col("begin") <= F.col(rank)) & (F.col("end") > F.col(rank))

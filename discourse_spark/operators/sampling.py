@@ -3,8 +3,8 @@
 Rows carry a hash key. A histogram of key ranges per stratum (at most ``BUCKETS``
 rows each, combined before the shuffle) tells which range holds the last row of
 the quota. While that range holds many rows it is divided again. In the end,
-rows below it are taken without a shuffle and only the few rows inside it are
-ranked, however large the stratum.
+rows below it are taken without a shuffle and only the rows inside it are
+ranked, in ranges, so that even many rows with one key need no large task.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from discourse_spark.operators.ranks import with_running_total
 from discourse_spark.session import materialize
 
 BUCKETS = 4096
 BORDER_ROWS = 100_000
-SMALL_LIMIT = 10_000
 KEY_SPACE = 1 << 40
 
 
@@ -96,8 +96,8 @@ class QuotaSplit:
     def _in_border(self) -> Column:
         return (F.col("_key") >= F.col("_low")) & (F.col("_key") < F.col("_low") + self._width)
 
-    def quota_total(self) -> Column:
-        return self._cuts.agg(F.sum("_quota")).scalar()
+    def quota_total(self) -> int:
+        return self._cuts.agg(F.sum("_quota")).first()[0] or 0
 
     def marked(self) -> DataFrame:
         """All rows with ``selected``."""
@@ -105,9 +105,11 @@ class QuotaSplit:
         clear = placed.where(~inside).withColumn(
             "selected", F.coalesce(F.col("_key") < F.col("_low"), F.lit(False))
         )
-        rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_key", self._id))
-        border = placed.where(inside).withColumn("selected", rank <= F.col("_take"))
-        return clear.unionByName(border).drop("_stratum", "_key", "_low", "_take")
+        border = with_running_total(
+            materialize(placed.where(inside), "border"), ["_key", self._id], "_stratum"
+        )
+        ranked = border.withColumn("selected", F.col("_running") <= F.col("_take"))
+        return clear.unionByName(ranked.drop("_running")).drop("_stratum", "_key", "_low", "_take")
 
 
 def _at_most(n: int | Column) -> Callable[[DataFrame], DataFrame]:
@@ -122,18 +124,17 @@ def random_sample(df: DataFrame, n: int | Column, id_col: str = "post_id", **key
 
 
 def take_first(df: DataFrame, n: int, id_col: str = "post_id") -> DataFrame:
-    """The first ``n`` rows by id.
+    """The first ``n`` rows by id, null ids first, for ids of any type that has an order.
 
-    A small ``n`` is a bounded sort in each task and one merge. A large one would
-    make that merge heavy, so ids are treated as keys and cut like a sample.
+    Only ids are sorted, in ranges; the rows up to the last one are then read by it.
+    Of rows that share the last id, as many are taken as there is room for.
     """
-    if n <= SMALL_LIMIT:
-        return df.orderBy(id_col).limit(n)
-    ends = df.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
-    if ends["low"] is None:
-        return df
-    key = F.col(id_col) - ends["low"]
-    return random_sample(df, n, id_col, key=key, key_space=ends["high"] - ends["low"] + 1)
+    ids = with_running_total(df.select(F.col(id_col).alias("_id")), ["_id"])
+    taken = materialize(ids.where(F.col("_running") <= n).select(F.struct("_id").alias("_id")), "first-ids")
+    last = taken.agg(F.max("_id")).scalar()
+    own = F.struct(F.col(id_col).alias("_id"))
+    room = taken.where(F.col("_id") == last).count()
+    return df.where(own < last).unionByName(df.where(own == last).limit(room))
 
 
 def sample_quotas(sizes: DataFrame, n: int) -> DataFrame:
@@ -157,11 +158,12 @@ def stratified_sample(df: DataFrame, n: int, stratum: Column | None = None,
         stratum = F.coalesce(F.col("subreddit"), F.col("source"))
     split = QuotaSplit(df, stratum, lambda sizes: sample_quotas(sizes, n), id_col, **key)
     marked = split.marked()
-    missing = F.lit(n) - split.quota_total()
+    missing = n - split.quota_total()
+    taken = marked.where("selected").drop("selected")
+    if missing <= 0:
+        return taken
     rest = marked.where(~F.col("selected")).drop("selected")
-    return marked.where("selected").drop("selected").unionByName(
-        random_sample(rest, missing, id_col, **key)
-    )
+    return taken.unionByName(random_sample(rest, missing, id_col, **key))
 
 
 def train_test_split(df: DataFrame, label: str, test_share: float = 0.2,

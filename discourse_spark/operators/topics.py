@@ -151,7 +151,8 @@ def closest_topic(posts: DataFrame, scores: DataFrame, text_col: str = "clean_te
                   id_col: str = "post_id") -> DataFrame:
     """Per post with any known term: the topic of the most similar c-TF-IDF vector.
 
-    Frequent words are hot join keys on the post side and are split over tasks.
+    Frequent words are hot join keys on the post side and are split over tasks. Texts are
+    read once; what is counted and joined are the written counts of terms.
     """
     known = scores.where(F.col("topic") != OUTLIER)
     norms = materialize(
@@ -161,8 +162,9 @@ def closest_topic(posts: DataFrame, scores: DataFrame, text_col: str = "clean_te
         "term", "topic", (F.col("idf") * F.col("score") / F.col("norm")).alias("pull")
     )
     words = F.explode(tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    in_post = posts.select(id_col, words.alias("term")).groupBy(id_col, "term").agg(
-        rows().alias("n")
+    in_post = materialize(
+        posts.select(id_col, words.alias("term")).groupBy(id_col, "term").agg(rows().alias("n")),
+        "post-terms",
     )
     similarity = (
         salted_join(in_post, directions, "term", spread_by=id_col)

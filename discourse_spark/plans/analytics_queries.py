@@ -71,7 +71,7 @@ def toxicity_by_score(spark, sf_dir):
 FROM facts WHERE toxicity IS NOT NULL ORDER BY toxicity DESC, post_id LIMIT 10"""))
 def most_toxic(spark, sf_dir):
     """Rank first, then analyse only the posts that are shown."""
-    top = enrich_base(A.most_toxic(posts(spark, sf_dir, spread=False), 10))
+    top = enrich_base(A.most_toxic(posts(spark, sf_dir), 10))
     return top.select(
         "post_id", "toxicity", "othering_predicted",
         X.dataset_short_name(F.col("dataset")).alias("short"),

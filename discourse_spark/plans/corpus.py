@@ -42,37 +42,13 @@ CALENDAR = [
     ("2030-01-01", "Far future event", "politics", "DDD"),
 ]
 
-SMALL_INPUT_BYTES = 1 << 30
-_sizes: dict[tuple[str, ...], int] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give a small input that sits in a few unsplittable files to all cores.
-
-    Text work is bound by CPU. Only a local session with an input known to be
-    small shuffles it; on a cluster inputs come in many splits and stay as they are.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.master.startswith("local"):
-        return df
-    files = tuple(df.inputFiles())
-    cores = spark.sparkContext.defaultParallelism
-    if len(files) >= cores:
-        return df
-    if files not in _sizes:
-        lengths = spark.read.format("binaryFile").load(list(files)).agg(F.sum("length"))
-        _sizes[files] = lengths.first()[0]
-    return df.repartition(cores) if _sizes[files] < SMALL_INPUT_BYTES else df
-
-
-def posts(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if spread:
-        documents = spread_small_input(documents)
     i = F.col("doc_id")
     phrases = F.array(*[F.lit(p) for p in PHRASES])
     phrase = F.try_element_at(phrases, (i % PHRASE_SLOTS + 1).cast("int"))

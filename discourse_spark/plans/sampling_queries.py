@@ -38,7 +38,7 @@ SELECT post_id, stratum FROM (SELECT * FROM ranked
   ORDER BY CASE WHEN r <= quota THEN 0 ELSE 1 END, h, post_id LIMIT 100)"""))
 def stratified_sample(spark, sf_dir):
     stratum = F.coalesce("subreddit", "source")
-    narrow = posts(spark, sf_dir, spread=False).select("post_id", stratum.alias("stratum"))
+    narrow = posts(spark, sf_dir).select("post_id", stratum.alias("stratum"))
     return P.stratified_sample(narrow, 100, F.col("stratum"), **_key())
 
 

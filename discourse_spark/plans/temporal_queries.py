@@ -219,7 +219,7 @@ SELECT post_id, strftime(CASE WHEN source = 'reddit' THEN found ELSE post_date E
 FROM posts LEFT JOIN lookup ON k = lower(trim(text))"""))
 def patch_dates(spark, sf_dir):
     """Half of the posts, as a raw forum dump, give dates to all with the same text."""
-    target = posts(spark, sf_dir, spread=False)
+    target = posts(spark, sf_dir)
     dump = target.where(F.col("post_id") % 2 == 0).select(
         F.col("text").alias("title"), F.lit(None).cast("string").alias("selftext"),
         F.lit("politics").alias("subreddit"), F.col("post_id").alias("ord"),

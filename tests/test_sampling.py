@@ -65,10 +65,34 @@ def test_split_is_exact_and_complete(spark, skewed):
     assert split.exceptAll(again).isEmpty()
 
 
-def test_take_first(spark, skewed, monkeypatch):
+def test_take_first(spark, skewed):
     want = list(range(5000))
     assert sorted(r.post_id for r in P.take_first(skewed, 5000).collect()) == want
-    monkeypatch.setattr(P, "SMALL_LIMIT", 10)
-    assert sorted(r.post_id for r in P.take_first(skewed, 5000).collect()) == want
     assert P.take_first(skewed.where("post_id < 0"), 5000).isEmpty()
-    assert [r.post_id for r in P.take_first(skewed, 3).collect()] == [0, 1, 2]
+    assert sorted(r.post_id for r in P.take_first(skewed, 3).collect()) == [0, 1, 2]
+    assert P.take_first(skewed, 1_000_000).count() == skewed.count()
+
+
+@pytest.mark.parametrize("n", [5, 700])
+def test_take_first_of_text_ids(spark, n):
+    texts = spark.range(1000).select(F.concat(F.lit("id"), "id").alias("post_id"))
+    got = sorted(r.post_id for r in P.take_first(texts, n).collect())
+    assert got == sorted(f"id{i}" for i in range(1000))[:n]
+
+
+def test_take_first_with_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(i,) for i in (None, 1, 2, 2, 2, 3)], "post_id long")
+    got = [r.post_id for r in P.take_first(rows, 4).collect()]
+    assert sorted(got, key=lambda x: x or 0) == [None, 1, 2, 2]
+
+
+def test_many_rows_with_one_key_are_ranked_by_id(spark):
+    rows = spark.range(20_000).select(
+        F.col("id").alias("post_id"), F.when(F.col("id") % 10 > 0, "big").alias("stratum")
+    )
+    got = P.QuotaSplit(
+        rows, F.col("stratum"), lambda sizes: sizes.withColumn("quota", F.lit(1500).cast("long")),
+        key=F.lit(0), key_space=1,
+    ).marked().where("selected")
+    ids = sorted(r.post_id for r in got.where("stratum = 'big'").collect())
+    assert ids == [i for i in range(20_000) if i % 10][:1500]

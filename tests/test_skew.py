@@ -20,6 +20,20 @@ def test_same_rows_as_a_plain_join(spark, how, hot_share):
     assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
 
 
+def test_null_keys_are_spread(spark):
+    left = spark.range(5000).select(F.col("id").alias("post_id"), F.lit(None).cast("string").alias("k"))
+    right = spark.createDataFrame([("hot", 1)], "k string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(left, right, "k", "left").withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 5000 and len(sizes) > 4 and max(sizes) < 2500
+
+
 def test_hot_key_is_spread(spark):
     left = spark.range(5000).withColumnRenamed("id", "post_id").withColumn("k", F.lit("hot"))
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
