@@ -241,8 +241,10 @@ def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
         "sets",
     )
     first = written(_confirmed(star, sets), "links")
-    second = _between(members, sets, components(first))
-    found = components(first.union(second))
+    stars = written(components(first), "stars")
+    second = _between(members, sets, stars)
+    # what is joined already goes in as stars, which no round has to change
+    found = components(stars.select("id", "component").union(second))
     labelled = classes.select("digest", "row_id").join(
         found, F.col("digest") == F.col("id"), "left"
     ).select("digest", "row_id", F.coalesce("component", "digest").alias("component"))
