@@ -244,7 +244,7 @@ def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
     stars = written(components(first), "stars")
     second = _between(members, sets, stars)
     # what is joined already goes in as stars, which no round has to change
-    found = components(stars.select("id", "component").union(second))
+    found = components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
     labelled = classes.select("digest", "row_id").join(
         found, F.col("digest") == F.col("id"), "left"
     ).select("digest", "row_id", F.coalesce("component", "digest").alias("component"))
