@@ -164,7 +164,7 @@ _trained = {}
 def _models(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trained:
-        _trained[key] = C.train_models(_split(spark, sf_dir), features=("TF-IDF", "Hashed"), folds=2, max_iter=15)
+        _trained[key] = C.train_models(_split(spark, sf_dir), features=("TF-IDF", "Hashed"))
     return _trained[key]
 
 
