@@ -73,7 +73,7 @@ def test_texts_are_not_shuffled_to_meet_a_calendar(spark, sf_dir, calendar, tmp_
     """Literal calendars, and those read from files, are known to be small when planning."""
     from discourse_spark.sources import posts as IO
 
-    posts = corpus.posts(spark, sf_dir, spread=False)
+    posts = corpus.posts(spark, sf_dir)
     IO.write_table(calendar.selectExpr("*", "'' AS region", "'' AS source"), f"{tmp_path}/c.csv")
     for events in (calendar, IO.read_calendar_events(spark, f"{tmp_path}/c.csv")):
         plan = plan_of(E.event_window_sample(posts, events, years=(2024, 2024)), "simple")
