@@ -84,7 +84,7 @@ def read_calendar_events(spark, sf_dir):
     )
     IO.write_table(fields, path)
     events = IO.read_calendar_events(spark, path)
-    days = posts(spark, sf_dir, spread=False).groupBy(F.to_date("post_date").alias("date")).agg(
+    days = posts(spark, sf_dir).groupBy(F.to_date("post_date").alias("date")).agg(
         F.count(F.lit(1)).alias("k")
     )
     assert events.count() == len(CALENDAR)
@@ -98,7 +98,7 @@ FROM posts GROUP BY dataset"""))
 def write_datasets(spark, sf_dir):
     """One dataset is replaced on disk by twice its rows; the others stay as they are."""
     path = _folder(spark)
-    narrow = posts(spark, sf_dir, spread=False).select("post_id", "dataset")
+    narrow = posts(spark, sf_dir).select("post_id", "dataset")
     IO.write_datasets(narrow, path)
     one = narrow.where(F.col("dataset").startswith("Tiktok"))
     IO.write_datasets(one.unionByName(one), path)

@@ -294,7 +294,7 @@ def union_posts(spark, sf_dir):
         F.col("conv_id").alias("post_id"), F.col("role").alias("source"),
         F.lit("conversations").alias("dataset"), "text",
     )
-    merged = N.union_posts([posts(spark, sf_dir, spread=False), turns])
+    merged = N.union_posts([posts(spark, sf_dir), turns])
     return merged.groupBy("dataset", "source").agg(
         F.count(F.lit(1)).alias("n"), F.count("toxicity").alias("n_scored"),
         F.sum(F.length("text")).alias("chars"),
