@@ -29,40 +29,66 @@ END_ID = 1
 EXACT_PIECES = 60  # branch and bound works on the last pieces
 NODES = 20_000  # branches tried there; the best solution so far holds beyond
 RANKED = 1_000_000  # pieces of one length ranked in one task
-TRIES = 2_000  # partial fillings looked at for one bin
+TRIES = 2_000  # steps of the search for one bin, one per length, before all sums are computed
 
 
 def filling(counts: np.ndarray, room: int, tries: int = TRIES) -> list[int]:
     """The undominated filling of ``room`` that wastes least: lengths, large ones first.
 
     A filling is undominated if no piece in it can be changed for a larger one. Large
-    pieces are tried first, so among equal wastes the one with the fewest pieces wins
-    and small pieces stay for later bins.
+    pieces are tried first, as many copies at once as there are and fit, so among equal
+    wastes the one with the most large pieces wins and small ones stay for later bins.
+    A search that takes more than ``tries`` steps is left for the sums that can be
+    reached, which give the same filling.
     """
-    best, best_waste, left = [], room, tries
+    best: list[tuple[int, int]] = []
+    best_waste, left, rest, most = room, tries, room, room
     # the largest available length up to each size, so that a step is a look-up
     floor = np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))
-
-    def extend(chosen: list[int], rest: int, most: int) -> bool:
-        nonlocal best, best_waste, left
+    taken: list[tuple[int, int]] = []
+    while best_waste:
+        left -= 1
+        if left < 0:
+            return fullest(counts, room)
         length = int(floor[min(rest, most)])
-        if rest < best_waste:
-            best, best_waste = list(chosen), rest
-        while length and best_waste:
-            left -= 1
-            if left < 0:
-                return False
-            if chosen.count(length) < counts[length]:
-                chosen.append(length)
-                deeper = extend(chosen, rest - length, length)
-                chosen.pop()
-                if not deeper:
-                    return False
-            length = int(floor[length - 1])
-        return True
-
-    extend([], room, room)
-    return best
+        if length:
+            copies = min(int(counts[length]), rest // length)
+        elif taken:  # nothing smaller fits: one copy less of the last length
+            length, copies = taken.pop()
+            rest += copies * length
+            copies -= 1
+        else:
+            break
+        most = length - 1
+        if copies:
+            taken.append((length, copies))
+            rest -= copies * length
+            if rest < best_waste:
+                best, best_waste = list(taken), rest
+    return [length for length, copies in best for _ in range(copies)]
+
+
+def fullest(counts: np.ndarray, room: int) -> list[int]:
+    """What ``filling`` looks for, from the sums that the lengths up to each one can reach."""
+    lengths = np.flatnonzero(counts[: room + 1]).tolist()
+    every = (1 << (room + 1)) - 1
+    sums = [1]  # bit s: some pieces add up to s
+    for length in lengths:
+        reached, copies, step = sums[-1], min(int(counts[length]), room // length), 1
+        while copies and reached != every:
+            reached |= reached << min(step, copies) * length
+            copies -= min(step, copies)
+            step *= 2
+        sums.append(reached & every)
+    chosen: list[int] = []
+    target = sums[-1].bit_length() - 1
+    for length, below in zip(lengths[::-1], sums[-2::-1]):
+        copies = min(int(counts[length]), target // length)
+        while not below >> (target - copies * length) & 1:
+            copies -= 1
+        chosen += [length] * copies
+        target -= copies * length
+    return chosen
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:

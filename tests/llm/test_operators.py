@@ -244,6 +244,27 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert Counter(p for n, b in done for p in b * n) == Counter(pieces)
 
 
+def test_packing_of_very_many_small_pieces():
+    for counts in ({1: 30_000}, {1: 9_000, 2: 9_000, 3: 9_000, 4: 9_000}, {4_000: 3, 700: 40, 4: 20_000, 1: 25_000}):
+        done = packing.complete(counts)
+        held = Counter()
+        for times, lengths in done:
+            assert sum(lengths) <= 4096
+            for length, n in Counter(lengths).items():
+                held[length] += n * times
+        assert held == counts
+        assert sum(times for times, _ in done) == -(-sum(k * n for k, n in counts.items()) // 4096)
+
+
+def test_a_long_search_ends_with_the_same_filling():
+    chance = np.random.default_rng(6)
+    for _ in range(200):
+        counts = chance.integers(0, 4, 41) * (chance.random(41) < 0.3)
+        counts[0] = 0
+        room = int(chance.integers(1, 41))
+        assert packing.filling(counts, room, 0) == packing.filling(counts, room, 10**6)
+
+
 def test_packing_of_messy_rows(messy, nothing):
     got = rows(packing.pack(messy, vocabulary("word_bpe_49k.json")))
     pieces = Counter(r[0] for r in got)
