@@ -4,7 +4,8 @@ Candidates are values behind key words, access ids, long hexadecimal runs, and,
 the method adds, long runs that mix capital and small letters with digits. Each value is
 counted over the whole corpus: how many owners and how many repositories hold it. What
 ``EXAMPLE_OWNERS`` or more owners hold is a widely copied example; what fewer hold
-looks live. Mixed runs are reported only if they look live, the other kinds always.
+looks live. Repositories lie within owners here, so that their number adds nothing to a
+verdict that asks for both; many repositories of few owners are no sign of an example. Mixed runs are reported only if they look live, the other kinds always.
 
 Positions come from the text between matches: a match starts after all earlier gaps
 and matches. Only texts with matches leave the scan, as one row per match.
