@@ -33,15 +33,82 @@ DECAY = 2e-4
 STEPS = 400
 THRESHOLD = 0.3
 
-# Terms that name a group of people, by kind. Only terms of one kind are swapped.
+# Terms that name a group of people, by kind. Only terms of one kind are swapped, so forms of
+# one number, part of speech and language are a kind. No term is in two kinds; what two
+# languages share is in the first. Capitals beyond ASCII are forms of their own.
 IDENTITY_TERMS = {
     "gender": ("women", "men", "girls", "boys", "transgender"),
+    "gender, one": ("woman", "man", "girl", "boy"),
+    "gender, adjectives": ("female", "male"),
     "religion": ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+    "religion, one": ("muslim", "christian", "jew", "hindu", "buddhist", "atheist"),
+    "religion, adjectives": ("islamic", "jewish", "catholic", "protestant"),
     "origin": ("immigrants", "refugees", "foreigners", "natives", "africans", "asians", "europeans", "mexicans"),
+    "origin, one": ("immigrant", "refugee", "foreigner", "native", "african", "asian", "european", "mexican"),
+    "origin, more": ("migrants", "arabs", "turks", "americans", "indians"),
+    "origin, one more": ("migrant", "arab", "turk", "american", "indian"),
+    "origin, adjectives": ("foreign", "arabic", "turkish", "chinese"),
     "orientation": ("gay", "lesbian", "straight", "bisexual"),
+    "orientation, many": ("gays", "lesbians", "homosexuals", "heterosexuals", "bisexuals"),
+    "orientation, one": ("homosexual", "heterosexual"),
     "colour": ("black", "white", "brown"),
+    "colour, many": ("blacks", "whites"),
     "ability": ("disabled", "deaf", "blind", "autistic"),
     "age": ("elderly", "teenagers", "millennials"),
+    "age, one": ("teenager", "millennial", "pensioner"),
+    "gender, de": ("frauen", "männer", "mädchen", "jungen"),
+    "gender, one, de": ("frau", "mann", "junge"),
+    "gender, adjectives, de": ("weibliche", "männliche"),
+    "religion, de": ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    "religion, women, de": ("musliminnen", "christinnen", "jüdinnen"),
+    "religion, one, de": ("moslem", "christ", "jude"),
+    "religion, one woman, de": ("muslimin", "christin", "jüdin"),
+    "religion, adjectives, de": ("muslimische", "christliche", "jüdische", "katholische"),
+    "religion, inflected, de": ("muslimischen", "christlichen", "jüdischen", "katholischen"),
+    "origin, de": ("einwanderer", "flüchtlinge", "ausländer", "afrikaner", "asiaten", "europäer", "mexikaner",
+                   "araber", "türken", "migranten"),
+    "origin, one, de": ("flüchtling", "asiate", "türke"),
+    "origin, adjectives, de": ("ausländische", "afrikanische", "asiatische", "europäische", "arabische", "türkische"),
+    "orientation, de": ("schwule", "lesben", "homosexuelle", "heterosexuelle", "bisexuelle"),
+    "orientation, adjectives, de": ("schwul", "lesbisch"),
+    "colour, de": ("schwarze", "weiße", "braune"),
+    "ability, de": ("behinderte", "gehörlose", "blinde", "autisten"),
+    "age, de": ("senioren", "rentner", "jugendliche"),
+    "gender, fr": ("femmes", "hommes", "filles", "garçons"),
+    "gender, one, fr": ("femme", "homme", "fille", "garçon"),
+    "religion, fr": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    "religion, one, fr": ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    "religion, women, fr": ("musulmanes", "chrétiennes", "juives"),
+    "religion, one woman, fr": ("musulmane", "chrétienne", "juive"),
+    "origin, fr": ("immigrés", "réfugiés", "étrangers", "Étrangers", "africains", "asiatiques", "européens",
+                   "mexicains", "arabes", "turcs"),
+    "origin, one, fr": ("immigré", "réfugié", "étranger", "Étranger", "africain", "asiatique", "européen",
+                        "mexicain", "arabe", "turc"),
+    "origin, one woman, fr": ("immigrée", "réfugiée", "étrangère", "Étrangère", "africaine", "européenne",
+                              "mexicaine", "turque"),
+    "orientation, fr": ("lesbiennes", "homosexuels", "hétérosexuels", "bisexuels"),
+    "orientation, one, fr": ("lesbienne", "homosexuel", "hétérosexuel", "bisexuel"),
+    "colour, fr": ("noirs", "blancs"),
+    "colour, one, fr": ("noir", "blanc"),
+    "colour, one woman, fr": ("noire", "blanche"),
+    "ability, fr": ("handicapés", "sourds", "aveugles", "autistes"),
+    "age, fr": ("retraités", "adolescents"),
+    "gender, es": ("mujeres", "hombres", "chicas", "chicos"),
+    "gender, one, es": ("mujer", "hombre", "chica", "chico"),
+    "religion, es": ("cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    "religion, one, es": ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    "religion, one woman, es": ("musulmana", "cristiana", "judía", "atea"),
+    "origin, es": ("inmigrantes", "refugiados", "extranjeros", "africanos", "asiáticos", "europeos", "mexicanos",
+                   "árabes", "Árabes", "turcos"),
+    "origin, one, es": ("inmigrante", "refugiado", "extranjero", "africano", "asiático", "europeo", "mexicano",
+                        "árabe", "Árabe", "turco"),
+    "origin, one woman, es": ("refugiada", "extranjera", "africana", "asiática", "europea", "mexicana", "turca"),
+    "orientation, es": ("lesbianas", "homosexuales", "heterosexuales", "bisexuales"),
+    "colour, es": ("negros", "blancos"),
+    "colour, one, es": ("negro", "blanco"),
+    "colour, one woman, es": ("negra", "blanca"),
+    "ability, es": ("discapacitados", "sordos", "ciegos", "autistas"),
+    "age, es": ("ancianos", "jubilados", "adolescentes"),
 }
 
 # words here are runs of ASCII letters and digits and of anything beyond ASCII
@@ -172,7 +239,7 @@ def _associated(texts: list[bytes], y: np.ndarray, always: np.ndarray) -> np.nda
 
 def _twins(text: np.ndarray, column: np.ndarray, known: np.ndarray, swaps: Swaps):
     """(text, column, +1 or -1) of what changes when the identity terms of texts are swapped."""
-    rows, columns, signs = [], [], []
+    removed, added = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
 
     def place(features: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(known, features), len(known) - 1)
@@ -182,14 +249,15 @@ def _twins(text: np.ndarray, column: np.ndarray, known: np.ndarray, swaps: Swaps
         term = place(own[:1])
         if not len(term):
             continue
-        holders = text[column == term[0]]
-        for where, sign in ((place(own), -1.0), (place(other), 1.0)):
-            rows.append(np.repeat(holders, len(where)))
-            columns.append(np.tile(where, len(holders)))
-            signs.append(np.full(len(holders) * len(where), sign))
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(signs)
+        holders = text[column == term[0]] * len(known)
+        for where, keys in ((place(own), removed), (place(other), added)):
+            keys.append((holders[:, None] + where).ravel())
+    # forms of one word share beginnings: a text loses or gets a feature once
+    gone, fresh = np.unique(np.concatenate(removed)), np.unique(np.concatenate(added))
+    lost = np.setdiff1d(gone, fresh, assume_unique=True)
+    got = np.setdiff1d(fresh, text * len(known) + column)
+    changed = np.concatenate([lost, got])
+    return changed // len(known), changed % len(known), np.repeat([-1.0, 1.0], [len(lost), len(got)])
 
 
 def _descend(text, column, y, size, bias, twins, penalty) -> tuple[np.ndarray, float]:

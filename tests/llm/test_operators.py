@@ -429,6 +429,40 @@ def test_swapped_groups_score_alike():
     assert gap[5.0] < 0.3 * gap[0.0]
 
 
+@pytest.mark.parametrize("one, other", [
+    ("Muslim", "Christian"), ("immigrant", "refugee"), ("jewish", "catholic"), ("Juden", "Christen"),
+    ("étrangers", "européens"), ("extranjeros", "africanos"),
+])
+def test_swaps_know_forms_and_languages(one, other):
+    chance = random.Random(7)
+    plain = "this is some text about the weather and the market today with more words".split()
+    texts, labels = [], []
+    for k in range(300):
+        toxic = k % 3 == 0
+        words = chance.sample(plain, 8)
+        words.insert(3, one if chance.random() < (0.8 if toxic else 0.1) else other)
+        if toxic and chance.random() < 0.7:
+            words.append("scum")
+        texts.append(" ".join(words))
+        labels.append(int(toxic))
+    both = [toxicity.plain(f"we met {one} today"), toxicity.plain(f"we met {other} today")]
+    gap = {p: abs(np.diff(toxicity.fit_texts(texts, labels, penalty=p).scores(both))[0]) for p in (0.0, 5.0)}
+    assert gap[5.0] < 0.3 * gap[0.0]
+
+
+def test_a_twin_differs_by_whole_features():
+    """Each term is in one kind, and forms of one word take a shared beginning away once."""
+    terms = [t for kind in toxicity.IDENTITY_TERMS.values() for t in kind]
+    assert len(terms) == len(set(terms)) and all(toxicity.plain(t) == t.encode() for t in terms)
+    pairs = [(toxicity.plain("muslim muslims"), 0)]
+    _, _, feature = toxicity.features_of([t for t, _ in pairs])
+    known = np.unique(feature)
+    twin, changed, sign = toxicity._twins(
+        np.zeros(len(known), dtype=np.int64), np.arange(len(known)), known, toxicity.Swaps(toxicity.IDENTITY_TERMS)
+    )
+    assert sorted(changed.tolist()) == list(range(len(known))) and set(sign.tolist()) == {-1.0}
+
+
 # secrets
 
 
