@@ -9,12 +9,14 @@ Bin completion: the largest open document is filled up with the undominated set
 smaller ones that wastes least; a filling is used as often as the counts allow. When
 few pieces are left, branch and bound tries all undominated fillings around the largest
 one, prunes by the waste that the bins of a better solution may hold together, and
-keeps the best solution found, first of all the best-fit one.
+keeps the best solution found, first of all the best-fit one. Best fit over all counts
+is the answer if it needs fewer bins than that.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from discourse_spark.llm.common import NO_ID, id_or_last, pick, ship, written
 CAPACITY = 4096
 END_ID = 1
 EXACT_PIECES = 60  # branch and bound works on the last pieces
-NODES = 20_000  # branches tried there; the best solution so far holds beyond
+NODES = 20_000  # fillings looked at there; the best solution so far holds beyond
 RANKED = 1_000_000  # pieces of one length ranked in one task
 TRIES = 2_000  # steps of the search for one bin, one per length, before all sums are computed
 
@@ -71,15 +73,7 @@ def filling(counts: np.ndarray, room: int, tries: int = TRIES) -> list[int]:
 def fullest(counts: np.ndarray, room: int) -> list[int]:
     """What ``filling`` looks for, from the sums that the lengths up to each one can reach."""
     lengths = np.flatnonzero(counts[: room + 1]).tolist()
-    every = (1 << (room + 1)) - 1
-    sums = [1]  # bit s: some pieces add up to s
-    for length in lengths:
-        reached, copies, step = sums[-1], min(int(counts[length]), room // length), 1
-        while copies and reached != every:
-            reached |= reached << min(step, copies) * length
-            copies -= min(step, copies)
-            step *= 2
-        sums.append(reached & every)
+    sums = reachable([(length, int(counts[length])) for length in lengths], room)
     chosen: list[int] = []
     target = sums[-1].bit_length() - 1
     for length, below in zip(lengths[::-1], sums[-2::-1]):
@@ -91,8 +85,23 @@ def fullest(counts: np.ndarray, room: int) -> list[int]:
     return chosen
 
 
+def reachable(pieces: list[tuple[int, int]], room: int) -> list[int]:
+    """Bit s of entry i: some pieces of the first i (length, copies) add up to s."""
+    every = (1 << (room + 1)) - 1
+    sums = [1]
+    for length, copies in pieces:
+        reached, copies, step = sums[-1], min(copies, room // length), 1
+        while copies and reached != every:
+            reached |= reached << min(step, copies) * length
+            copies -= min(step, copies)
+            step *= 2
+        sums.append(reached & every)
+    return sums
+
+
 def complete(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times, lengths) of bins that hold all pieces of the given counts by length."""
+    """(times, lengths) of bins that hold all pieces of the given counts by length: those of
+    bin completion, or of best fit if these are fewer."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -109,9 +118,43 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
         bins.append((times, chosen))
     rest = np.repeat(np.arange(capacity + 1), left)[::-1].tolist()
     bins += [(1, b) for b in branch_and_bound(rest, capacity)]
+    plain = best_fit_counts(counts, capacity)
+    if sum(times for times, _ in plain) < sum(times for times, _ in bins):
+        return [(times, [length for length, n in runs for _ in range(n)]) for times, runs in plain]
     return bins
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """What ``best_fit`` does, on counts: (times, ((length, copies), ...)) of equal bins."""
+    by_room: list[list[tuple[int, tuple[tuple[int, int], ...]]]] = [[] for _ in range(capacity + 1)]
+    rooms = 0  # bit r: some bins have the room r left
+
+    def put(room: int, times: int, runs: tuple[tuple[int, int], ...]) -> None:
+        nonlocal rooms
+        by_room[room].append((times, runs))
+        rooms |= 1 << room
+
+    for length in sorted(counts, reverse=True):
+        n = counts[length]
+        while n:
+            # the fullest bins that take the length get as many of it as they can hold
+            fits = rooms >> length
+            if fits:
+                room = length + (fits & -fits).bit_length() - 1
+                times, runs = by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, times, runs = capacity, n, ()
+            copies = min(n, room // length)
+            filled = min(times, n // copies)
+            put(room - copies * length, filled, (*runs, (length, copies)))
+            if runs and filled < times:
+                put(room, times - filled, runs)
+            n -= filled * copies
+    return [group for groups in by_room for group in groups]
+
+
 def best_fit(pieces: list[int], capacity: int) -> list[list[int]]:
     """Each piece, the largest first, into the fullest bin that still takes it."""
     bins: list[list[int]] = []
@@ -141,7 +184,7 @@ def lower_bound(pieces: list[int], capacity: int) -> int:
 
 
 def branch_and_bound(pieces: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
-    """Bins of the pieces (largest first): optimal unless ``nodes`` branches run out."""
+    """Bins of the pieces (largest first): optimal unless ``nodes`` fillings run out."""
     best = best_fit(pieces, capacity)
     target = lower_bound(pieces, capacity)
     left = nodes
@@ -157,47 +200,46 @@ def branch_and_bound(pieces: list[int], capacity: int = CAPACITY, nodes: int = N
         if waste > allowed or len(bins) + lower_bound(open_pieces, capacity) >= len(best):
             return
         largest, rest = open_pieces[0], open_pieces[1:]
-        for chosen in undominated(rest, capacity - largest):
+        for chosen, wasted, undominated in fillings(rest, capacity - largest):
             left -= 1
-            if left < 0 or len(best) <= target:
+            if left < 0 or len(best) <= target or waste + wasted > (len(best) - 1) * capacity - sum(pieces):
                 return
+            if not undominated:
+                continue
             remaining = list(rest)
             for p in chosen:
                 remaining.remove(p)
-            search(remaining, [*bins, [largest, *chosen]], waste + capacity - largest - sum(chosen))
+            search(remaining, [*bins, [largest, *chosen]], waste + wasted)
 
     if len(best) > target:
         search(list(pieces), [], 0)
     return best
 
 
-def undominated(pieces: list[int], room: int, most: int = 200) -> list[list[int]]:
-    """Maximal fillings of ``room`` that no exchange of one piece for a larger one improves,
-    least waste first."""
-    found: dict[tuple[int, ...], int] = {}
+def fillings(pieces: list[int], room: int) -> Iterator[tuple[list[int], int, bool]]:
+    """(lengths, waste, undominated) of each filling of ``room`` that leaves no piece that still
+    fits, least waste first. Undominated: no exchange of one piece for a larger one improves it."""
+    counts = Counter(p for p in pieces if p <= room)
+    lengths = sorted(counts)
+    sums = reachable([(length, counts[length]) for length in lengths], room)
 
-    def extend(at: int, chosen: list[int], rest: int) -> None:
-        if len(found) >= most:
+    def adding_up(k: int, total: int, waste: int) -> Iterator[list[int]]:
+        if not k:
+            yield []
             return
-        tried = None
-        grown = False
-        for i in range(at, len(pieces)):
-            if pieces[i] <= rest and pieces[i] != tried:
-                tried, grown = pieces[i], True
-                extend(i + 1, [*chosen, pieces[i]], rest - pieces[i])
-        if not grown:
-            found.setdefault(tuple(chosen), rest)
-
-    extend(0, [], room)
-
-    def improvable(chosen: tuple[int, ...], waste: int) -> bool:
-        others = list(pieces)
-        for p in chosen:
-            others.remove(p)
-        return any(p < o <= p + waste for p in set(chosen) for o in others) or any(o <= waste for o in others)
-
-    kept = [(waste, list(c)) for c, waste in found.items() if not improvable(c, waste)]
-    return [c for _, c in sorted(kept)] or [list(c) for c in list(found)[:1]]
+        length = lengths[k - 1]
+        for copies in range(min(counts[length], total // length), -1, -1):
+            if copies < counts[length] and length <= waste:
+                return
+            if sums[k - 1] >> (total - copies * length) & 1:
+                for smaller in adding_up(k - 1, total - copies * length, waste):
+                    yield [length] * copies + smaller
+
+    for waste in range(room + 1):
+        if sums[-1] >> (room - waste) & 1:
+            for chosen in adding_up(len(lengths), room - waste, waste):
+                others = counts - Counter(chosen)
+                yield chosen, waste, not any(p < o <= p + waste for p in set(chosen) for o in others)
 
 
 def places(bins: list[tuple[int, list[int]]]) -> pd.DataFrame:

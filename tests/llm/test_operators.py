@@ -265,6 +265,36 @@ def test_a_long_search_ends_with_the_same_filling():
         assert packing.filling(counts, room, 0) == packing.filling(counts, room, 10**6)
 
 
+def test_least_waste_comes_first_and_nothing_is_cut():
+    """The fillings of 22 larger pieces alone are more than 200, and none of them is exact."""
+    pieces = [2 * n for n in range(60, 38, -1)] + [7, 5, 1]
+    found = packing.fillings(pieces, 333)
+    chosen, waste, _ = next(found)
+    assert waste == 0 and sum(chosen) == 333
+    wastes = [w for _, w, _ in found]
+    assert wastes == sorted(wastes) and len(wastes) > 200
+    chance = random.Random(9)
+    pieces = []
+    while len(pieces) < 56:
+        cuts = sorted(chance.sample(range(1, 4096), chance.choice([2, 3, 4])))
+        pieces += [b - a for a, b in zip([0, *cuts], [*cuts, 4096])]
+    assert len(packing.branch_and_bound(sorted(pieces, reverse=True))) == -(-sum(pieces) // 4096)
+
+
+def test_best_fit_on_counts_is_the_fallback():
+    for seed in range(40):
+        chance = random.Random(seed)
+        counts = Counter({chance.randrange(1, 61): chance.randrange(1, 30) for _ in range(chance.randrange(1, 15))})
+        groups = packing.best_fit_counts(counts, 60)
+        held = Counter()
+        for times, runs in groups:
+            held.update({length: times * copies for length, copies in runs})
+        pieces = sorted(counts.elements(), reverse=True)
+        assert held == counts and sum(n for n, _ in groups) == len(packing.best_fit(pieces, 60))
+        assert sum(n for n, _ in packing.complete(counts, 60)) <= len(packing.best_fit(pieces, 60))
+    assert sum(n for n, _ in packing.complete({12: 17, 4: 18, 5: 30, 11: 29}, 30)) == 27
+
+
 def test_packing_of_messy_rows(messy, nothing):
     got = rows(packing.pack(messy, vocabulary("word_bpe_49k.json")))
     pieces = Counter(r[0] for r in got)
