@@ -92,6 +92,7 @@ def _hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = list(shingle_sets(plain))
         yield pd.DataFrame({
             "row_id": part["row_id"],
+            "text_hash": part["text_hash"],
             "digest": [_digest(p) for p in plain],
             "n_shingles": [len(s) for s in sets],
             "keys": [band_keys(signature(s)[None, :])[0].tolist() if len(s) else [] for s in sets],
@@ -204,19 +205,19 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def _labelled(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """(row_id, digest, n_shingles, keys) of each row, and (digest, component_id)."""
+    """(row_id, text_hash, digest, n_shingles, keys) of each row, and (digest, component_id)."""
     rows = pick(docs, **{id_column: "long", text_column: "string"}).toDF("doc_id", "text")
-    rows = rows.withColumn("row_id", id_or_last())
+    rows = rows.select(id_or_last().alias("row_id"), "text", F.xxhash64("text").alias("text_hash"))
     hashed = written(
-        rows.select("row_id", "text").mapInPandas(
-            _hashed, "row_id long, digest binary, n_shingles long, keys array<long>"
+        rows.mapInPandas(
+            _hashed, "row_id long, text_hash long, digest binary, n_shingles long, keys array<long>"
         ),
         "hashed",
     )
     classes = written(
         hashed.where("n_shingles > 0").groupBy("digest").agg(
-            F.min("row_id").alias("row_id"), F.first("keys").alias("keys")
-        ),
+            F.min(F.struct("row_id", "text_hash")).alias("at"), F.first("keys").alias("keys")
+        ).select("digest", "at.*", "keys"),
         "classes",
     )
     return hashed, written(_labels(rows, classes), "labels")
@@ -234,8 +235,7 @@ def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
     star = members.select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct()
     involved = members.select("digest").union(members.select("center")).distinct()
     sets = written(
-        classes.join(involved, "digest", "left_semi").select("digest", "row_id")
-        .join(rows.select("row_id", "text"), "row_id")
+        _texts(rows, classes.join(involved, "digest", "left_semi"))
         .mapInPandas(_sets, "digest binary, shingles binary, signature binary")
         .dropDuplicates(["digest"]),
         "sets",
@@ -252,6 +252,14 @@ def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return labelled.join(smallest, "component").select("digest", "component_id")
 
 
+def _texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(digest, text) of classes: the rows that have both the id and the text of their first
+    row, as any number of rows may have its id, null among them."""
+    return classes.select("digest", "row_id", "text_hash").join(
+        rows, ["row_id", "text_hash"]
+    ).select("digest", "text")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     whole = sets.select("digest", "shingles")
     return (

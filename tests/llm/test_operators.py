@@ -19,6 +19,7 @@ from discourse_spark.llm.graph import components
 from discourse_spark.llm.queries import QUERIES, SQL, vocabulary
 from discourse_spark.llm.suffix_sort import sorted_buckets
 from discourse_spark.llm.tokens import WordEncoder
+from pyspark.sql import functions as F
 
 
 def rows(df):
@@ -147,6 +148,20 @@ def test_a_large_group_of_edited_copies(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == component
 
 
+def test_texts_of_classes_under_one_id(spark):
+    """Each class gets its own text, not those of all rows that share its id."""
+    words = [f"w{k}" for k in range(60)]
+    docs = [(None if i % 3 else 7, " ".join([*words[:-1], f"e{i}"])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows(minmax_dedup.near_duplicates(df))
+    assert Counter(got) == {(7, 56, 7, True): 20, (None, 56, 7, False): 40}
+    keyed = df.select(F.coalesce("doc_id", F.lit(minmax_dedup.NO_ID)).alias("row_id"), "text",
+                      F.xxhash64("text").alias("text_hash"))
+    hashed, _ = minmax_dedup._labelled(df, "doc_id", "text")
+    texts = minmax_dedup._texts(keyed, hashed.select("digest", "row_id", "text_hash"))
+    assert Counter(rows(texts)) == {(minmax_dedup._digest(minmax_dedup.plain_words(t)), t): 1 for _, t in docs}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     found = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
