@@ -218,7 +218,7 @@ def fit_logistic(train: DataFrame, n: int, label: str = "label", c: float = 1.0)
 
 
 def fit_linear_svc(train: DataFrame, n: int, label: str = "label", c: float = 1.0,
-                   folds: int = 3, max_iter: int = 100, id_col: str = "post_id") -> PipelineModel:
+                   folds: int = 5, max_iter: int = 2000, id_col: str = "post_id") -> PipelineModel:
     """Balanced linear SVC whose margin is calibrated on held-out folds.
 
     Each fold's margins come from a model that has not seen it; one logistic

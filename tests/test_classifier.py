@@ -1,5 +1,6 @@
 """Features against a hand computation, models on separable data, metrics, storage."""
 
+import inspect
 import math
 import re
 from collections import Counter
@@ -86,6 +87,12 @@ def test_models_separate_toy_data_and_store(separable, tmp_path):
     assert document.confusion_matrix == [[30, 0], [0, 10]] and len(document.all_models) == 4
 
 
+def test_training_is_not_cut_by_default():
+    """Iterations and calibration folds are those of the reference."""
+    defaults = {k: p.default for k, p in inspect.signature(C.fit_linear_svc).parameters.items()}
+    assert defaults["max_iter"] >= 2000 and defaults["folds"] == 5
+
+
 def test_metrics_and_report(spark):
     rows = [(1, 1, 1, "a"), (2, 1, 0, "b\nc"), (3, 0, 1, "d"), (4, 0, 0, "e"), (5, 0, 0, "f")]
     df = spark.createDataFrame(rows, "post_id long, y int, p int, clean_text string")
