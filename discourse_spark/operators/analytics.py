@@ -36,6 +36,14 @@ def rows() -> Column:
     return F.count(F.lit(1))
 
 
+def texts(df: DataFrame) -> Column:
+    """Number of posts that have a text. A table without texts tells by ``has_text``; where
+    that is missing too, every row counts."""
+    if "text" in df.columns:
+        return F.count("text")
+    return F.count_if("has_text") if "has_text" in df.columns else rows()
+
+
 def most_frequent(df: DataFrame, column: str) -> Column:
     """Modal value as a scalar; ties go to the smallest value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(rows().alias("n"))
@@ -75,7 +83,7 @@ def pronoun_vs_othering(posts: DataFrame) -> DataFrame:
         posts.where(~F.col("pronoun_type").isin("unknown", "none", ""))
         .groupBy("pronoun_type")
         .agg(
-            F.count("text" if "text" in posts.columns else F.lit(1)).alias("n"),
+            texts(posts).alias("n"),
             F.sum("othering_predicted").cast("long").alias("n_othering"),
             percent(F.col("othering_predicted") == 1).alias("othering_pct"),
         )

@@ -19,7 +19,7 @@ from discourse_spark.fixed_values import (
     SPIKE_SIGMAS,
 )
 from discourse_spark.functions.text import dataset_short_name
-from discourse_spark.operators.analytics import all_groups, percent, rows
+from discourse_spark.operators.analytics import all_groups, percent, rows, texts
 from discourse_spark.operators.normalize import merge_title_body
 from discourse_spark.operators.skew import salted_join
 
@@ -34,7 +34,7 @@ def period_of(date: Column, granularity: str) -> Column:
 def timeline(posts: DataFrame, granularity: str = "Month", date_col: str = "post_date") -> DataFrame:
     dated = posts.where(F.col(date_col).isNotNull())
     return dated.groupBy(period_of(F.col(date_col), granularity).alias("period"), "dataset").agg(
-        F.count("text" if "text" in posts.columns else F.lit(1)).alias("posts"),
+        texts(posts).alias("posts"),
         F.avg("othering_predicted").alias("othering_rate"),
         F.avg("toxicity").alias("toxicity_mean"),
     )

@@ -111,4 +111,5 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(analysed(spark, sf_dir).drop("text", "clean_text"), "facts")
+    posts = analysed(spark, sf_dir).withColumn("has_text", F.col("text").isNotNull())
+    return materialize(posts.drop("text", "clean_text"), "facts")

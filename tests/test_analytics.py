@@ -22,6 +22,16 @@ def test_shares_add_up(facts):
     assert total(delta, "delta") == pytest.approx(0, abs=1e-9)
 
 
+def test_counts_of_texts_do_not_depend_on_columns(spark):
+    from discourse_spark.operators import temporal
+
+    posts = spark.sql("""SELECT * FROM VALUES ('us', 1, 'a', 'd', DATE'2024-01-01', 0.5), ('us', 0, NULL, 'd', DATE'2024-01-02', 0.1)
+        AS t(pronoun_type, othering_predicted, text, dataset, post_date, toxicity)""")
+    narrow = posts.withColumn("has_text", F.col("text").isNotNull()).drop("text")
+    assert [A.pronoun_vs_othering(p).first().n for p in (posts, narrow, narrow.drop("has_text"))] == [1, 1, 2]
+    assert [temporal.timeline(p).first().posts for p in (posts, narrow, narrow.drop("has_text"))] == [1, 1, 2]
+
+
 def test_cooccurrence_is_symmetric(facts):
     pairs = {(r.a, r.b): r.n for r in A.pattern_cooccurrence(facts).collect()}
     assert pairs and all(pairs[(b, a)] == n and a != b for (a, b), n in pairs.items())
