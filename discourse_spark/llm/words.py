@@ -32,6 +32,9 @@ class _Powers:
             self.up, self.down = (_running_powers(b, size) for b in (BASE, inverse))
         return self.up[:n], self.down[:n]
 
+    def __reduce__(self):  # a function that uses them doesn't carry the tables along
+        return _Powers, ()
+
 
 def _running_powers(base: int, n: int) -> np.ndarray:
     powers = np.full(n, base, dtype=np.uint64)
@@ -39,10 +42,6 @@ def _running_powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(powers, dtype=np.uint64)
 
 
-    def __reduce__(self):
-        return _Powers, ()
-
-
 _POWERS = _Powers()
 
 
@@ -56,11 +55,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                byte_values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """A 64-bit hash of each byte span of a uint8 array."""
     up, down = _POWERS.upto(len(buffer) + 1)
     sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[buffer] * up[: len(buffer)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(byte_values[buffer] * up[: len(buffer)], dtype=np.uint64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
