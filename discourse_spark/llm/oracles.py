@@ -86,3 +86,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM texts LEFT JOIN lists USING (doc_id)
 """
+
+PHRASE_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+phrases AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+    FROM words, range(1, 5) AS sizes(m) WHERE len(w) >= m
+  ) GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM phrases WHERE m > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, h.f AS l, t.f AS r, (CAST(c.f AS HUGEINT) * 2000000) // (h.f + t.f) AS score
+  FROM candidates c JOIN range(1, 4) AS places(k) ON k < c.m
+  JOIN phrases h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[: k], ' ')
+  JOIN phrases t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[k + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), within AS (
+  SELECT c.lang, array_to_string(c.w[i : i + size - 1], ' ') AS phrase, max(c.f) AS longer
+  FROM candidates c JOIN range(2, 4) AS sizes(size) ON size < c.m JOIN range(1, 4) AS starts(i) ON i <= c.m - size + 1
+  GROUP BY ALL
+), kept AS (
+  SELECT x.* FROM lowest x LEFT JOIN within y USING (lang, phrase) WHERE y.longer IS NULL OR 100 * y.longer < 80 * x.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+  CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""

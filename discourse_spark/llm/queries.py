@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discourse_spark.llm import (
-    embedding_dedup, language_cnn, minmax_dedup, packing, quality_bands, secret_scan, sentencepiece_fst,
-    suffix_dedup, token_files, toxicity,
+    cross_alignment, embedding_dedup, language_cnn, minmax_dedup, packing, phrases, quality_bands, secret_scan,
+    sentencepiece_fst, suffix_dedup, token_files, toxicity, url_filter,
 )
 from discourse_spark.llm.common import table
-from discourse_spark.llm.oracles import EMBEDDING_SQL, MINMAX_SQL, SECRET_SQL
+from discourse_spark.llm.oracles import EMBEDDING_SQL, MINMAX_SQL, PHRASE_SQL, SECRET_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -76,11 +76,25 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_alignment.align_documents(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    ).documents
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_token_id_output,
         op5_sentencepiece_codec, op6_quality_rules, op7_language_id, op8_minhash_near_dedup, op9_toxicity,
-        op10_secret_scans,
+        op10_secret_scans, op11_cross_tokenizer_alignment, op12_phrase_mining, op13_url_filter,
     )
 }
 
@@ -88,4 +102,5 @@ SQL = {
     "op2_embedding_near_dedup": EMBEDDING_SQL,
     "op8_minhash_near_dedup": MINMAX_SQL,
     "op10_secret_scans": SECRET_SQL,
+    "op12_phrase_mining": PHRASE_SQL,
 }
