@@ -16,7 +16,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +118,21 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> list:
     return sorted(picked, key=lambda r: r[key])
 
 
+def text_batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, row behind the last, texts as UTF-8 bytes) of a text column, with about ``most``
+    bytes at a time; a longer text is alone. Nulls are empty. Only one batch is copied at once."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+    until = np.cumsum(sizes + 1)
+    first = 0
+    while first < len(sizes):
+        before = until[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(until, before + most, side="right")))
+        part = column.slice(first, last - first).cast(pa.binary())
+        yield first, last, [t or b"" for t in part.to_pylist()]
+        first = last
+    pa.default_memory_pool().release_unused()  # workers live on into later stages
+
+
 def id_or_last(column: str = "doc_id"):
     """The id, or the largest possible one for null."""
     return F.coalesce(F.col(column), F.lit(NO_ID))

@@ -28,12 +28,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from discourse_spark.llm.common import id_or_last, pick, ship, written
-from discourse_spark.llm.words import BASE, LOWER, batches, mix, span_hashes, words_of
+from discourse_spark.llm.common import id_or_last, pick, ship, text_batches, written
+from discourse_spark.llm.words import BASE, LOWER, mix, span_hashes, words_of
 from discourse_spark.operators.ranks import with_running_total
 
 LEAST = 30  # occurrences of a phrase in a language
@@ -42,6 +42,8 @@ SHARE = 0.2  # of the documents are the sample
 LOWERED = 0.5  # of what LEAST comes to in the sample makes a proposal there, two at least
 BITS = 27  # the bitmap of known phrases has 2 ** BITS bits, 16 MB
 HELD = 2_000_000  # hashes that a task collects before it counts them
+MOST_SPOKEN = 1_000_000  # phrases whose words a task collects before it sends them on
+ROWS = 1 << 16  # sent on at once
 COVERED = (100, 80)  # a longer phrase covers one if 100 * f(longer) >= 80 * f(shorter)
 FIRST = 2_000  # phrases reported per language
 NO_LANGUAGE = "und"
@@ -90,12 +92,11 @@ def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
 
-def _read(part: pd.DataFrame) -> Iterator[tuple[Words, list[str]]]:
-    texts = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in part["text"]]
-    langs = part["lang"].tolist()
-    for first, last in batches(texts):
+def _read(part: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
+    langs = part.column(1).to_pylist()
+    for first, last, texts in text_batches(part.column(0)):
         salts = np.array([_salt(lang) for lang in langs[first:last]], dtype=np.uint64)
-        yield Words(texts[first:last], salts), langs[first:last]
+        yield Words([t.translate(LOWER) for t in texts], salts), langs[first:last]
 
 
 class Bitmap:
@@ -129,15 +130,18 @@ def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
-def _frame(keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"key": keys.view(np.int64), "n": n})
+def _rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(keys), ROWS):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[at : at + ROWS].view(np.int64)), pa.array(n[at : at + ROWS])], names=["key", "n"]
+        )
 
 
 def _counted(now, before, every_word: bool):
     """Counts of the phrases whose parts are all in ``now`` but not all in ``before``; of all
     phrases where ``now`` is None."""
 
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if now is None else Bitmap(now.value)
         earlier = None if before is None else Bitmap(before.value)
         held, size = [], 0
@@ -161,52 +165,81 @@ def _counted(now, before, every_word: bool):
                     held.append(keys[wanted])
                     size += len(held[-1])
                 if size > HELD:
-                    yield _frame(*_tally(held))
+                    tally = _tally(held)
                     held, size = [], 0
+                    yield from _rows(*tally)
         if held:
-            yield _frame(*_tally(held))
+            yield from _rows(*_tally(held))
 
     return counted
 
 
+class Spoken:
+    """Counts of phrases by 128 bits, and their words, in a task."""
+
+    def __init__(self):
+        self.keys = self.others = np.zeros(0, dtype=np.uint64)  # in order of the keys
+        self.n = self.place = np.zeros(0, dtype=np.int64)
+        self.phrases: list[tuple[str, int, bytes]] = []
+
+    def add(self, words: Words, langs: list[str], length: int, at: np.ndarray, keys: np.ndarray,
+            others: np.ndarray) -> None:
+        order = at[np.lexsort((others[at], keys[at]))]
+        if not len(order):
+            return
+        new = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(others[order]) != 0))
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(order)))
+        at = order[first]
+        keys, others = keys[at], others[at]
+        where = np.searchsorted(self.keys, keys)
+        there = np.flatnonzero(where < len(self.keys))
+        there = there[(self.keys[where[there]] == keys[there]) & (self.others[where[there]] == others[there])]
+        np.add.at(self.n, where[there], n[there])
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[there] = False
+        self.keys = np.insert(self.keys, where[fresh], keys[fresh])
+        self.others = np.insert(self.others, where[fresh], others[fresh])
+        self.n = np.insert(self.n, where[fresh], n[fresh])
+        self.place = np.insert(self.place, where[fresh], len(self.phrases) + np.arange(fresh.sum()))
+        starts, ends, text = words.starts, words.ends, words.buffer
+        for i in at[fresh].tolist():
+            own = b" ".join(text[starts[j] : ends[j]].tobytes() for j in range(i, i + length))
+            self.phrases.append((langs[words.text[i]], length, own))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(self.phrases), dtype=np.int64)
+        n[self.place] = self.n
+        for at in range(0, len(n), ROWS):
+            langs, lengths, phrases = zip(*self.phrases[at : at + ROWS])
+            yield _spoken_rows(langs, lengths, [p.decode("utf-8", "replace") for p in phrases], n[at : at + ROWS])
+
+
+def _spoken_rows(langs, lengths, phrases, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(langs, pa.string()), pa.array(lengths, pa.int32()), pa.array(phrases, pa.string()),
+         pa.array(n, pa.int64())], names=["lang", "length", "phrase", "n"],
+    )
+
+
 def _spoken(known):
     """(lang, length, phrase, n) of the known phrases, and of the words of each language under length 0."""
 
-    def spoken(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spoken(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bitmap(known.value)
-        counts: dict[tuple, list] = {}
-        totals: dict[str, int] = {}
-
-        def rows() -> pd.DataFrame:
-            done = [(k[0], k[1], v[1].decode("utf-8", "replace"), v[0]) for k, v in counts.items()]
-            done += [(lang, 0, "", n) for lang, n in totals.items()]
-            counts.clear()
-            totals.clear()
-            return pd.DataFrame(done, columns=["lang", "length", "phrase", "n"])
-
+        counts, totals = Spoken(), {}
         for part in parts:
             for words, langs in _read(part):
                 for text, n in enumerate(np.bincount(words.text, minlength=len(langs)).tolist()):
                     totals[langs[text]] = totals.get(langs[text], 0) + n
                 seconds = words.keys(words.second_hashes())
                 for (length, keys, whole), (_, others, _) in zip(words.keys(words.hashes), seconds):
-                    at = np.flatnonzero(whole & bits.has(keys))
-                    order = at[np.lexsort((others[at], keys[at]))]
-                    new = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(others[order]) != 0))
-                    first = np.flatnonzero(new) if len(order) else order
-                    sizes = np.diff(np.append(first, len(order)))
-                    for i, n in zip(order[first].tolist(), sizes.tolist()):
-                        key = (langs[words.text[i]], length, int(keys[i]), int(others[i]))
-                        entry = counts.get(key)
-                        if entry is None:
-                            counts[key] = [n, b" ".join(
-                                words.buffer[words.starts[j] : words.ends[j]].tobytes() for j in range(i, i + length)
-                            )]
-                        else:
-                            entry[0] += n
-                if len(counts) > HELD // 8:
-                    yield rows()
-        yield rows()
+                    counts.add(words, langs, length, np.flatnonzero(whole & bits.has(keys)), keys, others)
+                if len(counts.phrases) > MOST_SPOKEN:
+                    yield from counts.rows()
+                    counts = Spoken()
+        yield from counts.rows()
+        yield _spoken_rows(list(totals), [0] * len(totals), [""] * len(totals), list(totals.values()))
 
     return spoken
 
@@ -235,19 +268,19 @@ def frequent_phrases(docs: DataFrame, id_column: str = "doc_id", text_column: st
         return spark.sparkContext.broadcast(bitmap(keys))
 
     proposed = _summed(
-        rows.where(sampled).select("text", "lang").mapInPandas(_counted(None, None, True), fields),
+        rows.where(sampled).select("text", "lang").mapInArrow(_counted(None, None, True), fields),
         max(2, int(LOWERED * share * least)), "proposed",
     )
     now, before = send(proposed), None
-    found = _summed(texts.mapInPandas(_counted(now, None, True), fields), least, "frequent")
+    found = _summed(texts.mapInArrow(_counted(now, None, True), fields), least, "frequent")
     known, fresh = proposed, found.join(proposed, "key", "left_anti")
     while not fresh.where(F.col("key").bitwiseAND(F.lit(3)) < LONGEST - 1).isEmpty():
         known = known.select("key").union(fresh.select("key"))
         now, before = send(known), now
-        fresh = _summed(texts.mapInPandas(_counted(now, before, False), fields), least, "border")
+        fresh = _summed(texts.mapInArrow(_counted(now, before, False), fields), least, "border")
         found = found.union(fresh)
     wanted = send(found)
-    spoken = texts.mapInPandas(_spoken(wanted), "lang string, length int, phrase string, n long")
+    spoken = texts.mapInArrow(_spoken(wanted), "lang string, length int, phrase string, n long")
     counts = spoken.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
     return written(counts.where((F.col("n") >= least) | (F.col("length") == 0)), "phrases")
 
