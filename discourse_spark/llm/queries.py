@@ -66,7 +66,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(4, 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~F.coalesce(out, F.lit(True)))
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit_by_id(docs, labels)
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", "predicted"
     )

@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discourse_spark.llm.common import bounded_sample, pick, position
+from discourse_spark.llm.common import bounded_sample, pick, position, text_batches
 from discourse_spark.llm.words import LOWER, batches, span_hashes, words_of
 
 SAMPLE = 8_000  # labelled texts to fit on
@@ -293,10 +292,40 @@ def fit(labelled: DataFrame, label_column: str = "toxic", text_column: str = "te
     return fit_texts([r["text"] for r in picked], [r["toxic"] for r in picked], penalty=penalty)
 
 
+def fit_by_id(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "toxic",
+              text_column: str = "text", sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
+    """Fit on the texts of at most ``sample`` labelled ids.
+
+    Ids are chosen from ``labels`` alone, those with the smallest hashes; texts are looked up in
+    one scan of ``docs`` against that bounded list, so no text is shuffled. An id with several
+    labels has the highest. Of several documents with one id, the text with the smallest hash
+    counts; equal texts with equal labels count once. Null ids, other labels, ids
+    without a document and null texts are left out.
+    """
+    known = pick(labels, **{id_column: "long", label_column: "int"}).toDF("row_id", "toxic").where(
+        "row_id is not null and toxic in (0, 1)"
+    ).groupBy("row_id").agg(F.max("toxic").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("row_id"), "row_id").limit(sample)
+    rows = pick(docs, **{id_column: "long", text_column: "string"}).toDF("row_id", "text").where("text is not null")
+    found = rows.join(F.broadcast(chosen), "row_id").withColumn("h", F.xxhash64("text"))
+    firsts = found.groupBy("row_id").agg(F.min(F.struct("h", "text", "toxic")).alias("first")).select("first.*")
+    picked = {(r["text"], r["toxic"]): r["h"] for r in firsts.collect()}
+    ordered = sorted(picked, key=lambda k: (picked[k], k))
+    return fit_texts([t for t, _ in ordered], [y for _, y in ordered], penalty=penalty)
+
+
+def _scores(model: Model, column: pa.Array) -> np.ndarray:
+    """Some texts at a time, so that memory follows a batch of them and not of rows."""
+    parts = [model.scores([t.translate(LOWER) for t in texts]) for *_, texts in text_batches(column)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _scored(model: Model):
-    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield part.drop(columns="text").assign(score=model.scores([plain(t) for t in part["text"]]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(_scores(model, part.column(1)))], names=["doc_id", "score"]
+            )
 
     return scored
 
@@ -304,20 +333,22 @@ def _scored(model: Model):
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of each row. Null and empty texts get the score of a text
     without features. Repeated rows repeat, null ids come back as null."""
-    rows = pick(docs, **{id_column: "string", text_column: "string"}).toDF("doc_id", "text")
-    return rows.mapInPandas(_scored(model), "doc_id string, score double").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    rows = pick(docs, **{id_column: "long", text_column: "string"}).toDF("doc_id", "text")
+    return rows.mapInArrow(_scored(model), "doc_id long, score double").select(
+        "doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
 def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, as they are."""
+    """The rows of ``docs`` that score below the threshold, as they are.
+
+    Null and empty texts have the score of a text without features, repeated rows stay or go
+    together, and no other column is looked at. An empty table stays empty.
+    """
     at = position(docs.columns, text_column)
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            scores = model.scores([plain(t) for t in part.column(at).to_pylist()])
-            yield part.filter(pa.array(scores < THRESHOLD))
+            yield part.filter(pa.array(_scores(model, part.column(at)) < THRESHOLD))
 
     return docs.mapInArrow(clean, docs.schema)
