@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from discourse_spark.llm.common import NO_ID, id_or_last, pick, plain_columns, position, written
+from discourse_spark.llm.common import NO_ID, id_or_last, pick, plain_columns, position, text_batches, written
 from discourse_spark.llm.graph import components
 from discourse_spark.llm.words import LOWER, batches, mix, shingles_of, whole_hash, words_of
 
@@ -49,7 +49,11 @@ FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint6
 
 def plain_words(text: str | None) -> bytes:
     """The words of a text in lower case (A-Z only), joined by single spaces."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
+    return _plain((text or "").encode("utf-8", "surrogatepass"))
+
+
+def _plain(text: bytes) -> bytes:
+    return b" ".join(text.translate(LOWER).split())
 
 
 def shingle_sets(plain: list[bytes]) -> Iterator[np.ndarray]:
@@ -86,28 +90,38 @@ def _digest(plain: bytes) -> bytes | None:
     return hashlib.blake2b(plain, digest_size=16).digest() if plain else None
 
 
-def _hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (row_id, text_hash, text). Only some texts and their sets are held at a time."""
     for part in parts:
-        plain = [plain_words(t) for t in part["text"]]
-        sets = list(shingle_sets(plain))
-        yield pd.DataFrame({
-            "row_id": part["row_id"],
-            "text_hash": part["text_hash"],
-            "digest": [_digest(p) for p in plain],
-            "n_shingles": [len(s) for s in sets],
-            "keys": [band_keys(signature(s)[None, :])[0].tolist() if len(s) else [] for s in sets],
-        })
-
-
-def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for first, last, texts in text_batches(part.column(2)):
+            plain = [_plain(t) for t in texts]
+            n, keys = [], []
+            for own in shingle_sets(plain):
+                n.append(len(own))
+                keys.append(band_keys(signature(own)[None, :])[0] if len(own) else np.zeros(0, dtype=np.int64))
+            offsets = np.cumsum([0, *map(len, keys)])
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).slice(first, last - first), part.column(1).slice(first, last - first),
+                pa.array([_digest(p) for p in plain], pa.binary()), pa.array(n, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys))),
+            ], names=["row_id", "text_hash", "digest", "n_shingles", "keys"])
+
+
+def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (digest, text)."""
     for part in parts:
-        plain = [plain_words(t) for t in part["text"]]
-        right = [_digest(p) == wanted for p, wanted in zip(plain, part["digest"])]
-        sets = list(shingle_sets([p for p, yes in zip(plain, right) if yes]))
-        yield pd.DataFrame({
-            "digest": part["digest"][right], "shingles": [s.tobytes() for s in sets],
-            "signature": [signature(s).tobytes() for s in sets],
-        })
+        for first, last, texts in text_batches(part.column(1)):
+            plain = [_plain(t) for t in texts]
+            digests = part.column(0).slice(first, last - first).to_pylist()
+            right = [(p, d) for p, d in zip(plain, digests) if _digest(p) == d]
+            shingles, signatures = [], []
+            for own in shingle_sets([p for p, _ in right]):
+                shingles.append(own.tobytes())
+                signatures.append(signature(own).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d for _, d in right], pa.binary()), pa.array(shingles, pa.binary()),
+                 pa.array(signatures, pa.binary())], names=["digest", "shingles", "signature"],
+            )
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -187,7 +201,9 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     def digested(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            digests = [_digest(plain_words(t)) for t in part.column(text_at).to_pylist()]
+            digests = [
+                _digest(_plain(t)) for *_, texts in text_batches(part.column(text_at)) for t in texts
+            ]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(digests, pa.binary())], names=[*part.schema.names, "digest"]
             )
@@ -209,7 +225,7 @@ def _labelled(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFr
     rows = pick(docs, **{id_column: "long", text_column: "string"}).toDF("doc_id", "text")
     rows = rows.select(id_or_last().alias("row_id"), "text", F.xxhash64("text").alias("text_hash"))
     hashed = written(
-        rows.mapInPandas(
+        rows.select("row_id", "text_hash", "text").mapInArrow(
             _hashed, "row_id long, text_hash long, digest binary, n_shingles long, keys array<long>"
         ),
         "hashed",
@@ -236,7 +252,7 @@ def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
     involved = members.select("digest").union(members.select("center")).distinct()
     sets = written(
         _texts(rows, classes.join(involved, "digest", "left_semi"))
-        .mapInPandas(_sets, "digest binary, shingles binary, signature binary")
+        .mapInArrow(_sets, "digest binary, shingles binary, signature binary")
         .dropDuplicates(["digest"]),
         "sets",
     )

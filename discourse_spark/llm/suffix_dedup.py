@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from discourse_spark.llm.common import NO_ID, plain_columns, position, written
+from discourse_spark.llm.common import NO_ID, plain_columns, position, text_batches, written
 from discourse_spark.llm.suffix_sort import equal_runs, leading_words, sample_ranks, sorted_buckets
 from discourse_spark.llm.words import BASE, BYTE_VALUES, mix, span_hashes
 
@@ -425,8 +425,9 @@ def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=LEVEL)
     for part in parts:
         at = part.schema.get_field_index("text")
-        texts = part.column(at).to_pylist()
-        packed = pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+        packed = pa.array(
+            [pack.compress(t) for *_, texts in text_batches(part.column(at)) for t in texts], pa.binary()
+        )
         yield pa.RecordBatch.from_arrays(
             [packed if i == at else part.column(i) for i in range(part.num_columns)],
             names=["packed" if i == at else n for i, n in enumerate(part.schema.names)],
