@@ -19,8 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict to be toxic. It is fitted on the labels."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit_by_id(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(_documents(docs), model)
 
 
