@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
     CountVectorizer,
     ElementwiseProduct,
     HashingTF,
     Normalizer,
-    VectorSlicer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -24,6 +28,7 @@ from pyspark.sql import types as T
 
 from discourse_spark.functions.text import bigrams, tokens
 from discourse_spark.operators.analytics import rows
+from discourse_spark.operators.newton import LOGISTIC, SQUARED_HINGE, Block, blocks, newton
 from discourse_spark.operators.sampling import hash_key, random_sample
 from discourse_spark.session import materialize
 
@@ -93,16 +98,9 @@ class Grams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
         return with_grams(dataset, self.getInputCol(), self.getOutputCol())
 
 
-_VECTOR_FIELDS = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
-
-
 def vector_fields(vector: Column) -> Column:
-    """A sparse vector column as a struct with plain ``indices`` and ``values`` arrays.
-
-    JSON is the one format in which Spark reads and writes vectors as their
-    underlying struct, which keeps element-wise work out of Python.
-    """
-    return F.from_json(F.to_json(F.struct(vector.alias("v"))), _VECTOR_FIELDS)["v"]
+    """A sparse vector column as its struct with ``type``, ``size``, ``indices`` and ``values``."""
+    return F.unwrap_udt(vector)
 
 
 class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
@@ -219,30 +217,74 @@ def fit_logistic(train: DataFrame, n: int, label: str = "label", c: float = 1.0)
 
 def fit_linear_svc(train: DataFrame, n: int, label: str = "label", c: float = 1.0,
                    folds: int = 5, max_iter: int = 2000, id_col: str = "post_id") -> PipelineModel:
-    """Balanced linear SVC whose margin is calibrated on held-out folds.
+    """Balanced linear SVC (squared hinge, intercept in the penalty) with calibrated probabilities.
 
-    Each fold's margins come from a model that has not seen it; one logistic
-    curve over all of them turns margins into probabilities.
+    The model and those of all folds are fitted in one sweep. Each fold's margins come
+    from the model that has not seen it; one logistic curve over all of them, with smoothed
+    targets, turns margins into probabilities. Margin and curve are linear in the features, so
+    what comes back is one linear model.
     """
-
-    def svc() -> LinearSVC:
-        return LinearSVC(
-            labelCol=label, weightCol="weight", regParam=1.0 / (c * n), maxIter=max_iter,
-            standardization=False, tol=TOLERANCE, predictionCol="svc_prediction", rawPredictionCol="svc_raw",
-        )
-
-    margin = VectorSlicer(inputCol="svc_raw", outputCol="margin", indices=[1])
-    weighted = balanced_weights(train, label).withColumn(
-        "_fold", F.pmod(hash_key(11, id_col), F.lit(folds))
+    fits, size, _ = svc_fits(train, label, c, folds, max_iter, id_col)
+    slope, offset = fits.curve
+    weights = slope * fits.weights[0]
+    spark = train.sparkSession
+    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"calibrated-svc-{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(weights[:size].tolist())),
+        float(weights[size] + offset),
+    )
+    return PipelineModel([LogisticRegressionModel(java)])
+
+
+@dataclass
+class SvcFits:
+    """Weights of the whole fit and of each fold's, objectives, passes, and the curve's slope and offset."""
+
+    weights: np.ndarray
+    objective: np.ndarray
+    passes: int
+    curve: tuple[float, float]
+
+
+def svc_fits(train: DataFrame, label: str, c: float, folds: int, max_iter: int,
+             id_col: str) -> tuple[SvcFits, int, DataFrame]:
+    """The fits behind ``fit_linear_svc``, the number of features, and the rows in blocks."""
+    first = train.select("features").where("features is not null").first()
+    size = first[0].size if first else 0
+    fold = F.pmod(hash_key(11, id_col), F.lit(folds))
+    weighted = balanced_weights(train, label).select("features", label, "weight", *[
+        F.when(fold != k, F.col("weight")).otherwise(0.0).alias(f"_without{k}") for k in range(folds)
+    ])
+    names = ["weight", *[f"_without{k}" for k in range(folds)]]
+    blocked = blocks(weighted, "features", label, names)
+    fit = newton(blocked, size, folds + 1, SQUARED_HINGE, 1.0 / c, penalise_intercept=True, max_steps=max_iter)
+    curve = newton(_held_out_margins(blocked, fit.weights), 1, 1, LOGISTIC, penalty=0.0, max_steps=max_iter)
+    return SvcFits(fit.weights, fit.objective, fit.passes, tuple(curve.weights[0])), size, blocked
+
+
+def _held_out_margins(blocked: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Blocks of (margin, target), each row by the model of the fold that left it out. A row
+    comes twice, weighted by its smoothed target and by the rest of it."""
+
+    def margins(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in part.to_pylist():
+                block = Block(row)
+                own = block.weights[1:].argmin(axis=0) + 1  # the fold in which it weighs nothing
+                every = block.dot(weights)[own, np.arange(len(own))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(every), pa.array(block.targets > 0.5)], names=["margin", "positive"]
+                )
+
+    rows_ = blocked.mapInArrow(margins, "margin double, positive boolean")
+    sizes = rows_.agg(rows().alias("n"), F.count_if("positive").alias("p")).first()
+    high, low = (sizes["p"] + 1) / (sizes["p"] + 2), 1 / (sizes["n"] - sizes["p"] + 2)
+    target = F.when(F.col("positive"), high).otherwise(low)
+    sides = F.inline(F.array(
+        F.struct(F.lit(1.0).alias("label"), target.alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - target).alias("w"))
+    ))
+    return blocks(
+        rows_.select(array_to_vector(F.array("margin")).alias("features"), sides), "features", "label", ["w"]
     )
-    held_out = None
-    for fold in range(folds):
-        model = svc().fit(weighted.where(F.col("_fold") != fold))
-        scored = margin.transform(model.transform(weighted.where(F.col("_fold") == fold)))
-        part = scored.select(label, "margin")
-        held_out = part if held_out is None else held_out.unionByName(part)
-    curve = LogisticRegression(featuresCol="margin", labelCol=label, regParam=0.0).fit(held_out)
-    return PipelineModel([svc().fit(weighted), margin, curve])
 
 
 def classify(df: DataFrame, model: PipelineModel) -> DataFrame:

@@ -1,14 +1,18 @@
 """Queries over TF-IDF, classifiers, their metrics, and topics."""
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from discourse_spark.operators import classifier as C
+from discourse_spark.operators import newton as N
 from discourse_spark.operators import sampling as P
 from discourse_spark.operators import topics as B
 from discourse_spark.plans import sql as S
 from discourse_spark.plans.corpus import analysed, facts, table
 from discourse_spark.plans.registry import query
-from discourse_spark.session import materialize
+from discourse_spark.session import materialize, shared_folder
 
 _cleaned = {}
 
@@ -183,6 +187,69 @@ def classify(spark, sf_dir):
     )
 
 
+@query(S.with_facts("""SELECT (SELECT count(*) FROM facts) AS n_posts, (SELECT count(*) FROM facts) AS n_scored,
+  CAST(0 AS BIGINT) AS n_out_of_range, CAST(0 AS BIGINT) AS n_contradictions, CAST(4 AS BIGINT) AS n_models,
+  true AS learned, true AS stored_alike"""))
+def classifier_invariants(spark, sf_dir):
+    """What must hold for any trained model: every post scored once, probabilities in range, predictions
+    on their side of one half, four models compared, the labels learned, and the same scores from a
+    stored and loaded copy."""
+    fitted, comparison = _models(spark, sf_dir)
+    best = C.select_best(fitted, comparison)
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    best.save(folder)
+    texts = cleaned(spark, sf_dir).select("post_id", "clean_text")
+    scored = best.classify(texts).select("post_id", "othering_predicted", "othering_proba")
+    again = C.OtheringClassifier.load(folder, best.name).classify(texts).select(
+        "post_id", F.col("othering_predicted").alias("p"), F.col("othering_proba").alias("q")
+    )
+    p, q = F.col("othering_predicted"), F.col("othering_proba")
+    facts_ = scored.join(again, "post_id").agg(
+        F.count("*").alias("n_scored"), F.count_if(~q.between(0, 1) | ~p.isin(0, 1)).alias("n_out_of_range"),
+        F.count_if((F.abs(q - 0.5) > 1e-4) & ((q > 0.5) != (p == 1))).alias("n_contradictions"),
+        (F.count_if((p != F.col("p")) | (q != F.col("q"))) == 0).alias("stored_alike"),
+    )
+    share = F.avg(F.col("has_othering").cast("double"))
+    guess = facts(spark, sf_dir).select("has_othering").agg((2 * share / (1 + share)).alias("f1")).scalar()
+    models = comparison.agg(
+        F.count("*").alias("n_models"), (F.max("f1") >= guess).alias("learned")  # than to flag every post
+    )
+    sizes = texts.agg(F.count("*").alias("n_posts"))
+    return facts_.withColumns({
+        c: df.select(c).scalar() for df in (models, sizes) for c in df.columns
+    })
+
+
+@query(S.with_facts("""SELECT fit, (SELECT count(*) FROM facts WHERE has_othering) > 0 AS has_labels, true AS stationary,
+  true AS no_better_nearby FROM range(6) AS r(fit)"""))
+def svc_optimum(spark, sf_dir):
+    """Each fit of the linear SVC and its calibration folds: the gradient vanishes at its weights, and no
+    weights nearby have a smaller loss."""
+    data = _split(spark, sf_dir).select("post_id", "clean_text", F.col("label").cast("double").alias("label"))
+    ready = materialize(C.hashed_features().transform(data), "svc-rows")
+    fits, size, blocked = C.svc_fits(ready, "label", 1.0, 5, 2000, "post_id")
+
+    def loss(w):
+        def of_block(b):
+            y = np.where(b.targets > 0.5, 1.0, -1.0)
+            z = b.dot(w)
+            slopes = b.back(b.weights * N.SQUARED_HINGE.slope(z, y), size)
+            return np.hstack([slopes, (b.weights * N.SQUARED_HINGE.value(z, y)).sum(axis=1, keepdims=True)])
+
+        total = N.tree_sum(blocked, of_block, (6, size + 2))
+        return total[:, -1] + 0.5 * (w * w).sum(axis=1), np.linalg.norm(total[:, :-1] + w, axis=1)
+
+    w = fits.weights
+    at, slope = loss(w)
+    start = loss(np.zeros_like(w))[1]
+    near = [loss(w * (1 + e))[0] for e in (-0.01, 0.01)] + [loss(w + e * np.eye(1, size + 1, size))[0] for e in (-0.01, 0.01)]
+    labels = bool(data.where("label = 1").limit(1).count())
+    return spark.createDataFrame(
+        [(k, labels, bool(slope[k] <= 1e-4 * start[k]), bool(all(at[k] <= n[k] + 1e-9 for n in near))) for k in range(6)],
+        "fit long, has_labels boolean, stationary boolean, no_better_nearby boolean",
+    )
+
+
 @query(S.with_clean("""words_ AS (SELECT topic, unnest(regexp_extract_all(clean_text, '[a-z0-9_]{2,}')) AS term
   FROM clean),
 counts AS (SELECT topic, term, count(*) AS tf FROM words_ GROUP BY ALL),
