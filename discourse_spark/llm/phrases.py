@@ -13,18 +13,19 @@ one word are frequent themselves.
 3. Else the frequent ones of the border join the proposed ones. That opens phrases whose parts
    are both known only now; a further pass counts just those, and so on until a pass finds
    none. Each pass settles at least one more length, so there are at most four.
-4. A last pass brings the words of the frequent phrases and their exact counts by words.
+4. Counting keeps, with each phrase, the smallest hash of a text that holds it. A last pass reads
+   the words of each frequent phrase from that text alone.
 
-Passes know phrases by 64-bit hashes (62 bits and the length). Which are known is kept in a
-bitmap of ``BITS`` bits whatever the corpus; it is the only thing that is sent to all tasks. A
-collision there or among hashes only makes a pass count more than it has to: the last pass
-counts by words, and within a task by 128 bits. Each task counts its own documents first, a
-few million phrases at a time, so that very common ones cost no more than others.
+Passes know phrases by 128 bits of hash. Which are known is kept in a bitmap of ``BITS`` bits
+whatever the corpus, by the first 64; it is the only thing that is sent to all tasks. A
+collision there only makes a pass count more than it has to. Each task counts its own documents
+first, two million phrases at a time, so that very common ones cost no more than others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,6 @@ SHARE = 0.2  # of the documents are the sample
 LOWERED = 0.5  # of what LEAST comes to in the sample makes a proposal there, two at least
 BITS = 27  # the bitmap of known phrases has 2 ** BITS bits, 16 MB
 HELD = 2_000_000  # hashes that a task collects before it counts them
-MOST_SPOKEN = 1_000_000  # phrases whose words a task collects before it sends them on
 ROWS = 1 << 16  # sent on at once
 COVERED = (100, 80)  # a longer phrase covers one if 100 * f(longer) >= 80 * f(shorter)
 FIRST = 2_000  # phrases reported per language
@@ -66,6 +66,7 @@ class Words:
         self.hashes, bounds, self.buffer, self.starts, self.ends = words_of(texts, _BREAK)
         self.text = np.repeat(np.arange(len(texts)), np.diff(bounds))
         self.salts = salts[self.text]
+        self.places = np.array([zlib.crc32(t) for t in texts], dtype=np.int64)
         marks = np.cumsum(np.append(np.uint32(0), _MARK[self.buffer].astype(np.uint32)))
         new = np.ones(len(self.hashes), dtype=bool)
         if len(new):
@@ -126,15 +127,42 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True)
+class Tally:
+    """Occurrences of phrases in a task: 64 and 64 more bits of hash, and the text they are in."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, others: np.ndarray, places: np.ndarray) -> None:
+        self.held.append((keys, others, places))
+        self.size += len(keys)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(key, other, n, place): counts, and the smallest text hash of each phrase."""
+        keys, others, places = (np.concatenate([h[k] for h in self.held]) for k in range(3))
+        self.held, self.size = [], 0
+        order = np.argsort(keys)
+        keys, others, places = keys[order], others[order], places[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        if (others[1:] != others[:-1])[~new[1:]].any():  # two phrases with one key
+            order = np.lexsort((others, keys))
+            keys, others, places = keys[order], others[order], places[order]
+            new = np.append(True, (keys[1:] != keys[:-1]) | (others[1:] != others[:-1]))
+        first = np.flatnonzero(new)
+        n, least = np.diff(np.append(first, len(keys))), np.minimum.reduceat(places, first)
+        keys, others = keys[first], others[first]
+        for at in range(0, len(keys), ROWS):
+            part = slice(at, at + ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[part].view(np.int64)), pa.array(others[part].view(np.int64)), pa.array(n[part]),
+                 pa.array(least[part])], names=["key", "other", "n", "place"],
+            )
 
 
-def _rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(keys), ROWS):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[at : at + ROWS].view(np.int64)), pa.array(n[at : at + ROWS])], names=["key", "n"]
-        )
+def _designated(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One hash of a phrase and a text, for the bitmap of the texts that give phrases their words."""
+    return mix(keys ^ (places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _counted(now, before, every_word: bool):
@@ -144,11 +172,12 @@ def _counted(now, before, every_word: bool):
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if now is None else Bitmap(now.value)
         earlier = None if before is None else Bitmap(before.value)
-        held, size = [], 0
+        tally = Tally()
         for part in parts:
             for words, _ in _read(part):
                 own = old = None
-                for length, keys, whole in words.keys(words.hashes):
+                seconds = words.keys(words.second_hashes())
+                for (length, keys, whole), (_, others, _) in zip(words.keys(words.hashes), seconds):
                     if own is None:
                         wanted = whole if every_word or known is None else np.zeros(len(keys), dtype=bool)
                     elif known is None:
@@ -162,90 +191,71 @@ def _counted(now, before, every_word: bool):
                         old = None if earlier is None else earlier.has(keys)
                     else:
                         own = keys
-                    held.append(keys[wanted])
-                    size += len(held[-1])
-                if size > HELD:
-                    tally = _tally(held)
-                    held, size = [], 0
-                    yield from _rows(*tally)
-        if held:
-            yield from _rows(*_tally(held))
+                    tally.add(keys[wanted], others[wanted], words.places[words.text[: len(keys)][wanted]])
+                if tally.size > HELD:
+                    yield from tally.rows()
+        if tally.size:
+            yield from tally.rows()
 
     return counted
 
 
-class Spoken:
-    """Counts of phrases by 128 bits, and their words, in a task."""
-
-    def __init__(self):
-        self.keys = self.others = np.zeros(0, dtype=np.uint64)  # in order of the keys
-        self.n = self.place = np.zeros(0, dtype=np.int64)
-        self.phrases: list[tuple[str, int, bytes]] = []
-
-    def add(self, words: Words, langs: list[str], length: int, at: np.ndarray, keys: np.ndarray,
-            others: np.ndarray) -> None:
-        order = at[np.lexsort((others[at], keys[at]))]
-        if not len(order):
-            return
-        new = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(others[order]) != 0))
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(order)))
-        at = order[first]
-        keys, others = keys[at], others[at]
-        where = np.searchsorted(self.keys, keys)
-        there = np.flatnonzero(where < len(self.keys))
-        there = there[(self.keys[where[there]] == keys[there]) & (self.others[where[there]] == others[there])]
-        np.add.at(self.n, where[there], n[there])
-        fresh = np.ones(len(keys), dtype=bool)
-        fresh[there] = False
-        self.keys = np.insert(self.keys, where[fresh], keys[fresh])
-        self.others = np.insert(self.others, where[fresh], others[fresh])
-        self.n = np.insert(self.n, where[fresh], n[fresh])
-        self.place = np.insert(self.place, where[fresh], len(self.phrases) + np.arange(fresh.sum()))
-        starts, ends, text = words.starts, words.ends, words.buffer
-        for i in at[fresh].tolist():
-            own = b" ".join(text[starts[j] : ends[j]].tobytes() for j in range(i, i + length))
-            self.phrases.append((langs[words.text[i]], length, own))
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(self.phrases), dtype=np.int64)
-        n[self.place] = self.n
-        for at in range(0, len(n), ROWS):
-            langs, lengths, phrases = zip(*self.phrases[at : at + ROWS])
-            yield _spoken_rows(langs, lengths, [p.decode("utf-8", "replace") for p in phrases], n[at : at + ROWS])
-
-
-def _spoken_rows(langs, lengths, phrases, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(lengths, pa.int32()), pa.array(phrases, pa.string()),
-         pa.array(n, pa.int64())], names=["lang", "length", "phrase", "n"],
-    )
-
-
-def _spoken(known):
-    """(lang, length, phrase, n) of the known phrases, and of the words of each language under length 0."""
+def _spoken(chosen):
+    """(key, other, lang, length, phrase) of phrases in the texts that were chosen to give their words."""
 
     def spoken(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = Bitmap(known.value)
-        counts, totals = Spoken(), {}
+        bits = Bitmap(chosen.value)
+        done: set[tuple[int, int]] = set()
         for part in parts:
             for words, langs in _read(part):
-                for text, n in enumerate(np.bincount(words.text, minlength=len(langs)).tolist()):
-                    totals[langs[text]] = totals.get(langs[text], 0) + n
+                rows = []
                 seconds = words.keys(words.second_hashes())
                 for (length, keys, whole), (_, others, _) in zip(words.keys(words.hashes), seconds):
-                    counts.add(words, langs, length, np.flatnonzero(whole & bits.has(keys)), keys, others)
-                if len(counts.phrases) > MOST_SPOKEN:
-                    yield from counts.rows()
-                    counts = Spoken()
-        yield from counts.rows()
-        yield _spoken_rows(list(totals), [0] * len(totals), [""] * len(totals), list(totals.values()))
+                    here = bits.has(_designated(keys, words.places[words.text[: len(keys)]]))
+                    for i in np.flatnonzero(whole & here).tolist():
+                        key = int(keys[i]), int(others[i])
+                        if key not in done:
+                            done.add(key)
+                            own = b" ".join(
+                                words.buffer[words.starts[j] : words.ends[j]].tobytes() for j in range(i, i + length)
+                            )
+                            rows.append((*key, langs[words.text[i]], length, own.decode("utf-8", "replace")))
+                if len(done) > HELD // 4:
+                    done.clear()  # a phrase may come twice then
+                if rows:
+                    keys, others, spoken_langs, lengths, phrases = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                         pa.array(np.array(others, dtype=np.uint64).view(np.int64)), pa.array(spoken_langs, pa.string()),
+                         pa.array(lengths, pa.int32()), pa.array(phrases, pa.string())],
+                        names=["key", "other", "lang", "length", "phrase"],
+                    )
 
     return spoken
 
 
+def _sizes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n): words of each language in a task."""
+    totals: dict[str, int] = {}
+    for part in parts:
+        for words, langs in _read(part):
+            for lang, n in zip(langs, np.bincount(words.text, minlength=len(langs)).tolist()):
+                totals[lang] = totals.get(lang, 0) + n
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "n"]
+    )
+
+
+def _positions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        keys = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        hashes = _designated(keys, part.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["key"])
+
+
 def _summed(df: DataFrame, least: int, name: str) -> DataFrame:
-    return written(df.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
+    sums = df.groupBy("key", "other").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    return written(sums.where(F.col("n") >= least), name)
 
 
 def frequent_phrases(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -262,7 +272,7 @@ def frequent_phrases(docs: DataFrame, id_column: str = "doc_id", text_column: st
     rows = rows.select(id_or_last().alias("doc_id"), "text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"))
     texts = rows.select("text", "lang")
     sampled = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))
-    fields = "key long, n long"
+    fields = "key long, other long, n long, place long"
 
     def send(keys: DataFrame):
         return spark.sparkContext.broadcast(bitmap(keys))
@@ -273,16 +283,21 @@ def frequent_phrases(docs: DataFrame, id_column: str = "doc_id", text_column: st
     )
     now, before = send(proposed), None
     found = _summed(texts.mapInArrow(_counted(now, None, True), fields), least, "frequent")
-    known, fresh = proposed, found.join(proposed, "key", "left_anti")
+    known, fresh = proposed, found.join(proposed.select("key", "other"), ["key", "other"], "left_anti")
     while not fresh.where(F.col("key").bitwiseAND(F.lit(3)) < LONGEST - 1).isEmpty():
         known = known.select("key").union(fresh.select("key"))
         now, before = send(known), now
         fresh = _summed(texts.mapInArrow(_counted(now, before, False), fields), least, "border")
         found = found.union(fresh)
-    wanted = send(found)
-    spoken = texts.mapInArrow(_spoken(wanted), "lang string, length int, phrase string, n long")
-    counts = spoken.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
-    return written(counts.where((F.col("n") >= least) | (F.col("length") == 0)), "phrases")
+    chosen = send(found.select("key", "place").mapInArrow(_positions, "key long"))
+    spoken = texts.mapInArrow(
+        _spoken(chosen), "key long, other long, lang string, length int, phrase string"
+    ).dropDuplicates(["key", "other"])
+    phrases = found.join(spoken, ["key", "other"]).select("lang", "length", "phrase", "n")
+    totals = texts.mapInArrow(_sizes, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    return written(
+        phrases.union(totals.select("lang", F.lit(0).alias("length"), F.lit("").alias("phrase"), "n")), "phrases"
+    )
 
 
 def _part(first: Column | int, size: Column | int) -> Column:
