@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-MOST_WORDS = 1_200_000  # cached; the cache starts anew beyond that
+MOST_WORDS = 500_000  # cached; the cache starts anew beyond that
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
 PLAIN = re.compile("[\n -~¡-¬®-ÿ]*")
