@@ -12,14 +12,16 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import PCA, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discourse_spark.functions.text import tokens
 from discourse_spark.operators.analytics import percent, rows, top_value_per_group
 from discourse_spark.operators.classifier import hashed_features
+from discourse_spark.operators.density import density_clusters, with_topics
+from discourse_spark.operators.projection import main_directions, project
 from discourse_spark.operators.skew import salted_join
 from discourse_spark.session import materialize
 
@@ -32,10 +34,26 @@ def min_topic_size(n_rows: int | None = None) -> int:
 
 
 def reduce_dims(df: DataFrame, k: int = 5, features: str = "features") -> DataFrame:
-    """Unit-length vectors projected on their ``k`` main directions."""
-    unit = Normalizer(p=2.0, inputCol=features, outputCol="_unit").transform(df)
-    model = PCA(k=k, inputCol="_unit", outputCol="reduced").fit(unit)
-    return model.transform(unit).drop("_unit")
+    """Unit-length vectors projected on their ``k`` main directions, as vectors ``reduced``.
+
+    Vectors may be as wide as a vocabulary. Null vectors stay null.
+    """
+    unit = Normalizer(p=2.0, inputCol=features, outputCol="_unit").transform(df.where(F.col(features).isNotNull()))
+    found = main_directions(unit, k, "_unit")
+    placed = project(unit, found, "_unit", "_placed").withColumn("reduced", array_to_vector("_placed"))
+    return placed.drop("_unit", "_placed").unionByName(
+        df.where(F.col(features).isNull()), allowMissingColumns=True
+    )
+
+
+def cluster_by_density(df: DataFrame, radius: float, min_points: int, min_size: int = 20,
+                       features: str = "reduced", id_col: str = "post_id") -> DataFrame:
+    """Add ``topic`` by density: clusters of core points by size, largest 0; noise and clusters
+    below ``min_size`` are -1. No share of the points is noise beforehand."""
+    is_array = dict(df.dtypes)[features].startswith("array")
+    plain = df.withColumn("_x", F.col(features) if is_array else vector_to_array(features))
+    found = density_clusters(plain, radius, min_points, "_x", id_col)
+    return with_topics(found, min_size).drop("_x", "cluster")
 
 
 def _squared_distance(a: Column, b: Column) -> Column:
