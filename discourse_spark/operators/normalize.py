@@ -85,14 +85,40 @@ def drop_duplicate_columns(df: DataFrame) -> DataFrame:
     return positional.select(*[F.col(f"c{i}").alias(name) for name, i in first.items()])
 
 
+def _first_format(value: Column, *formats: str) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+
+
 def parse_timestamp(value: Column) -> Column:
-    """Parse the date spellings found in post exports; null when none fits."""
-    no_weekday = F.regexp_replace(value, r"^[A-Za-z]{3} ", "")
+    """Parse the date spellings found in post exports; null when none fits.
+
+    Besides what casts: month and day or year first with slashes, months by name (short or
+    long, before or after the day), weekdays in front, ``GMT`` or an offset behind, 24 hours
+    or 12 with ``am`` and ``pm``. Of two numbers before a year the first is the month unless
+    only the second can be. A shape is recognised before its formats are tried.
+    """
+    plain = F.btrim(value)
+    for pattern, replacement in (
+        (r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", ""),
+        (r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1"),
+        (r"(?i) *\b(gmt|utc|ut|z)$", " +0000"),
+        (r"(?i)(\d) *([ap])\.?m\.?$", "$1 $2m"),
+        (r", *", " "),
+    ):
+        plain = F.regexp_replace(plain, pattern, replacement)
+    clock, noon = "[ H:mm[:ss]][ Z]", " h:mm[:ss] a"
+
+    def shaped(*dates: str) -> Column:
+        return _first_format(plain, *[d + clock for d in dates], *[d + noon for d in dates])
+
     return F.coalesce(
         value.try_cast("timestamp"),
-        F.try_to_timestamp(no_weekday, F.lit("MMM dd HH:mm:ss Z yyyy")),
-        F.try_to_timestamp(value, F.lit("MM/dd/yyyy HH:mm:ss")),
-        F.try_to_timestamp(value, F.lit("MM/dd/yyyy")),
+        F.when(plain.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), shaped("M/d/yyyy", "d/M/yyyy"))
+        .when(plain.rlike(r"^\d{4}/\d{1,2}/\d{1,2}"), shaped("yyyy/M/d"))
+        .when(plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2} "), shaped("yyyy-M-d"))
+        .when(plain.rlike(r"^[A-Za-z]{3} \d{1,2} \d{4}"), shaped("MMM d yyyy"))
+        .when(plain.rlike(r"^[A-Za-z]{3} \d"), _first_format(plain, "MMM d HH:mm:ss Z yyyy"))
+        .when(plain.rlike(r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}"), shaped("d MMM yyyy", "d-MMM-yyyy")),
     )
 
 

@@ -165,31 +165,65 @@ def add_topic_names(df: DataFrame, overrides: Mapping[int, str] | None = None,
     return df.drop("topic_name").join(materialize(names, "topic-names"), "topic", "left")
 
 
-def closest_topic(posts: DataFrame, scores: DataFrame, text_col: str = "clean_text",
-                  id_col: str = "post_id") -> DataFrame:
-    """Per post with any known term: the topic of the most similar c-TF-IDF vector.
+def counted_terms(df: DataFrame, keep: list[str], text_col: str = "clean_text") -> DataFrame:
+    """The columns ``keep`` with ``term`` and its count ``n``, one row per distinct term of a row.
 
-    Frequent words are hot join keys on the post side and are split over tasks. Texts are
-    read once; what is counted and joined are the written counts of terms.
+    Counted within the row: in the sorted words every run of equal ones is a term.
+    """
+    ordered = df.select(*keep, F.sort_array(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("_w"))
+    last = F.size("_w") - 1
+    starts = ordered.where(last >= 0).withColumn("_at", F.filter(
+        F.sequence(F.lit(0), last),
+        lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", F.greatest(i - 1, F.lit(0)))),
+    ))
+    runs = F.transform("_at", lambda at, i: F.struct(
+        F.get("_w", at).alias("term"),
+        (F.coalesce(F.get("_at", i + 1), F.size("_w")) - at).cast("long").alias("n"),
+    ))
+    return starts.select(*keep, F.inline(runs))
+
+
+def pull_index(scores: DataFrame) -> tuple[DataFrame, list[int]]:
+    """One row per term with ``pulls``, an array of its pull on each topic, and those topics.
+
+    A pull is null where the topic does not hold the term. One id per topic reaches the driver.
     """
     known = scores.where(F.col("topic") != OUTLIER)
     norms = materialize(
         known.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("norm")), "topic-norms"
     )
+    topics = sorted(r["topic"] for r in norms.select("topic").collect())
     directions = known.join(norms, "topic").select(
         "term", "topic", (F.col("idf") * F.col("score") / F.col("norm")).alias("pull")
     )
-    words = F.explode(tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    in_post = materialize(
-        posts.select(id_col, words.alias("term")).groupBy(id_col, "term").agg(rows().alias("n")),
-        "post-terms",
-    )
-    similarity = (
-        salted_join(in_post, directions, "term", spread_by=id_col)
-        .groupBy(id_col, "topic").agg(F.sum(F.col("n") * F.col("pull")).alias("similarity"))
+    of_topics = [F.sum(F.when(F.col("topic") == t, F.col("pull"))) for t in topics]
+    pulls = F.array(*of_topics) if topics else F.array().cast("array<double>")
+    return directions.groupBy("term").agg(pulls.alias("pulls")), topics
+
+
+def closest_topic(posts: DataFrame, scores: DataFrame, text_col: str = "clean_text",
+                  id_col: str = "post_id") -> DataFrame:
+    """Per post with any known term: the topic of the most similar c-TF-IDF vector.
+
+    A post's term meets one row of the index, and sums for all topics are combined before the
+    one shuffle by post. Frequent words are hot join keys on the post side and are split over
+    tasks. Texts are read once; what is joined are the written counts of terms. Equal
+    similarities, to 9 decimals, go to the smallest topic.
+    """
+    index, topics = pull_index(scores)
+    in_post = materialize(counted_terms(posts, [id_col], text_col), "post-terms")
+    sums = salted_join(in_post, index, "term", spread_by=id_col).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("_terms"),
+        *[F.sum(F.col("n") * F.get("pulls", F.lit(i))).alias(f"_s{i}") for i in range(len(topics))],
     )
-    best = F.max_by("topic", F.struct(F.round("similarity", 9), -F.col("topic")))
-    return similarity.groupBy(id_col).agg(best.alias("closest"))
+    none = F.lit(None).cast("struct<similarity:double,below:int>")
+    rivals = [
+        F.when(F.col(f"_s{i}").isNotNull(), F.struct(
+            F.round(f"_s{i}", 9).alias("similarity"), F.lit(-t).alias("below")
+        )) for i, t in enumerate(topics)
+    ]
+    best = F.array_max(F.array(none, *rivals))
+    return sums.select(id_col, (-best["below"]).alias("closest")).where(F.col("closest").isNotNull())
 
 
 def reduce_outliers(df: DataFrame, scores: DataFrame | None = None,

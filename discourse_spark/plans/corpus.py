@@ -47,8 +47,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW_GROUP_BYTES = 1 << 20
+
+_documents: dict[tuple[str, str], DataFrame] = {}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts of the documents, written once per application in small row groups.
+
+    The given file may be a single row group, which one core would read, clean and match
+    alone in every query. A task writes what it reads, so nothing is shuffled.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _documents:
+        given = table(spark, sf_dir, "documents").select("doc_id", "text")
+        _documents[key] = materialize(given, "documents", ROW_GROUP_BYTES)
+    return _documents[key]
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     i = F.col("doc_id")
     phrases = F.array(*[F.lit(p) for p in PHRASES])
     phrase = F.try_element_at(phrases, (i % PHRASE_SLOTS + 1).cast("int"))
@@ -61,7 +78,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     date = F.date_add(F.lit("2024-01-01").cast("date"), (i % 97).cast("int")).cast("timestamp")
     emotions = ["neutral", "anger", "joy", "neutral", "fear", "annoyance", "curiosity", "anger"]
-    return documents.select(
+    return documents(spark, sf_dir).select(
         i.alias("post_id"),
         F.concat("text", F.coalesce(F.concat(F.lit(" "), phrase), F.lit(""))).alias("text"),
         F.when(i % 7 < 3, "reddit").otherwise("hate_speech").alias("source"),

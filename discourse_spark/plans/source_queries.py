@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from discourse_spark.operators import classifier as C
 from discourse_spark.operators import enrich
+from discourse_spark.operators import sampling as P
 from discourse_spark.operators import topics as B
 from discourse_spark.plans import sql as S
 from discourse_spark.plans.corpus import CALENDAR, calendar, posts, table
 from discourse_spark.plans.registry import query
 from discourse_spark.plans.sampling_queries import load_emotion, load_toxicity
-from discourse_spark.session import shared_folder
+from discourse_spark.session import materialize, shared_folder
 from discourse_spark.sources import posts as IO
 
 
@@ -55,6 +56,33 @@ def load_labelled(spark, sf_dir):
     )
 
 
+@query(S.with_posts("""loaded AS (SELECT 'Feeds  ·  one.parquet' AS dataset, post_id, post_date
+  FROM posts UNION ALL SELECT 'Feeds  ·  two.csv', post_id, post_date FROM posts, range(2))
+SELECT dataset, strftime(post_date, '%Y-%m-%d') || ' 00:00:00' AS post_date, count(*) AS n,
+  count(*) AS n_ids FROM loaded GROUP BY ALL
+UNION ALL SELECT 'sample', NULL, least(100, count(*)), least(100, count(*)) FROM loaded
+UNION ALL SELECT 'train', NULL, CAST(sum(t) AS BIGINT), CAST(sum(t) AS BIGINT)
+  FROM (SELECT round(0.8 * count(*)) AS t FROM loaded GROUP BY dataset)"""))
+def labelled_row_ids(spark, sf_dir):
+    """Loaded rows, every one twice in a file, get ids of their own; they are sampled and split by them."""
+    root = _folder(spark)
+    spelled = F.when(F.col("post_id") % 2 == 0, F.date_format("post_date", "MMM d, yyyy")).otherwise(
+        F.date_format("post_date", "M/d/yyyy"))
+    raw = posts(spark, sf_dir).select(F.col("text").alias("Caption"), spelled.alias("created_at"))
+    IO.write_table(raw, f"{root}/feeds/one.parquet")
+    IO.write_table(raw.unionByName(raw), f"{root}/feeds/two.csv")
+    loaded, errors = IO.load_labelled(spark, root)
+    assert not errors, errors
+    narrow = materialize(loaded.select("row_id", "dataset", "post_date"), "labelled")
+    n, n_ids = F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_ids")
+    split = P.train_test_split(narrow, "dataset", id_col="row_id").where(F.col("split") == "train")
+    whole = [
+        df.agg(n, n_ids).select(F.lit(name).alias("dataset"), F.lit(None).cast("timestamp").alias("post_date"), "n", "n_ids")
+        for name, df in (("sample", P.random_sample(narrow, 100, "row_id")), ("train", split))
+    ]
+    return narrow.groupBy("dataset", "post_date").agg(n, n_ids).unionByName(whole[0]).unionByName(whole[1])
+
+
 @query(S.with_posts(f"""{_LAID_OUT} SELECT DISTINCT split_part(dataset, '  ·  ', 1) AS "group",
   split_part(dataset, '  ·  ', 2) AS name FROM laid_out"""))
 def discover_datasets(spark, sf_dir):

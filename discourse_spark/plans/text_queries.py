@@ -159,6 +159,24 @@ def parse_post_date(spark, sf_dir):
     return N.parse_post_date(raw).select("event_id", "post_date")
 
 
+DATE_SPELLINGS = [
+    "M/d/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MMM d, yyyy HH:mm:ss", "MMMM d, yyyy h:mm:ss a",
+    "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "MM/dd/yyyy h:mm:ss a", "d MMM yyyy HH:mm:ss Z",
+    "yyyy-MM-dd hh:mm:ss a", "EEEE, d MMMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'",
+]
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS post_date FROM events")
+def parse_mixed_dates(spark, sf_dir):
+    """Ten spellings mixed in one column."""
+    ts, spelled = F.col("ts"), F.lit(None).cast("string")
+    for k, spelling in enumerate(DATE_SPELLINGS):
+        mine = F.col("event_id") % len(DATE_SPELLINGS) == k
+        spelled = F.when(mine, F.date_format(ts, spelling)).otherwise(spelled)
+    raw = table(spark, sf_dir, "events").select("event_id", spelled.alias("created_at"))
+    return N.parse_post_date(raw).select("event_id", "post_date")
+
+
 @query(S.with_posts("""SELECT post_id, strftime(make_timestamp(created_utc * 1000000),
   '%Y-%m-%d %H:%M:%S') AS date, strftime(make_timestamp(created_utc * 1000000), '%Y-%m') AS year_month
 FROM posts WHERE created_utc <> 0"""))

@@ -16,6 +16,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .appName("discourse-spark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # files are opened at no cost here: a small one is still shared by all cores
+        .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", memory)
@@ -47,13 +49,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, row_group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Unlike a cache it survives the loss of executors, and readers prune its
-    columns and push filters into the scan.
+    columns and push filters into the scan. Row groups of at most about
+    ``row_group_bytes`` let as many tasks read a file as it has of them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if row_group_bytes is not None:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from discourse_spark.operators import enrich, normalize as N
@@ -119,3 +120,20 @@ def test_enrich_full_keeps_existing_scores(spark):
     assert [r.emotion for r in rows] == ["neutral", "neutral"]
     fresh = enrich.enrich_full(df.drop("toxicity"), True, load_toxicity).orderBy("text").collect()
     assert [(r.toxicity, r.severe_toxicity) for r in fresh] == [(0.0, 0.0), (0.5, 0.0)]
+
+
+@pytest.mark.parametrize("value,want", [
+    ("1/5/2024", "2024-01-05 00:00:00"), ("13/01/2024", "2024-01-13 00:00:00"),
+    ("2024/01/05", "2024-01-05 00:00:00"), ("2024/1/5 7:08", "2024-01-05 07:08:00"),
+    ("Jan 5, 2024", "2024-01-05 00:00:00"), ("Sept. 5 2024", "2024-09-05 00:00:00"),
+    ("January 5, 2024 3:04pm", "2024-01-05 15:04:00"), ("05-Jan-2024", "2024-01-05 00:00:00"),
+    ("Fri, 05 Jan 2024 10:00:00 GMT", "2024-01-05 10:00:00"),
+    ("Friday, 5 January 2024 10:00 +0200", "2024-01-05 08:00:00"),
+    ("Fri Jan 05 10:00:00 +0000 2024", "2024-01-05 10:00:00"),
+    ("12/31/2024 12:00 AM", "2024-12-31 00:00:00"), ("2024-01-05 03:04 PM", "2024-01-05 15:04:00"),
+    ("32/13/2024", None), ("may be", None), ("", None), (None, None),
+])
+def test_date_spellings(spark, value, want):
+    df = spark.createDataFrame([(value,)], "v string").select(N.parse_timestamp(F.col("v")).alias("t"))
+    found = df.first().t
+    assert (None if found is None else str(found)) == want

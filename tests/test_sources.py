@@ -81,6 +81,19 @@ def test_whole_texts_survive_csv(spark, sf_dir, tmp_path):
     assert trouble.count() == 0
 
 
+@pytest.mark.parametrize("header,first,want", [
+    ("text,body,text,likes,TEXT", "a,b,c,d,e", {"text": "a", "body": "b", "likes": "d"}),
+    ("x0,x1,x2", "a,b,c", {"x0": "a", "x1": "b", "x2": "c"}),
+    (",b,", "a,b,c", {"_c0": "a", "b": "b", "_c2": "c"}),
+    ("Body,body", "a,b", {"Body": "a"}),
+    ("p,q,p,q,q4", "a,b,c,d,e", {"p": "a", "q": "b", "q4": "e"}),
+])
+def test_the_first_of_equal_headers_stays(spark, tmp_path, header, first, want):
+    (tmp_path / "t.csv").write_text(f"{header}\n{first}\n")
+    df = IO.read_posts(spark, f"{tmp_path}/t.csv")
+    assert [r.asDict() for r in df.collect()] == [want] and df.columns == list(want)
+
+
 def test_calendar_dates_are_coerced(spark, tmp_path):
     (tmp_path / "c.csv").write_text('date,title,category,country,region,source\n2024-01-02,"A, b",c,X,r,s\nsoon,t,c,X,r,s\n')
     rows = IO.read_calendar_events(spark, f"{tmp_path}/c.csv").collect()

@@ -62,6 +62,25 @@ def test_outliers_move_to_the_closest_topic(docs):
     assert moved == want and want[5] == 0 and want[7] == want[8] == -1
 
 
+def test_terms_are_counted_within_the_row(spark):
+    rows = [(1, "pear apple pear fig apple pear"), (2, ""), (3, None), (4, "one"), (4, "one one")]
+    df = spark.createDataFrame(rows, "post_id long, clean_text string")
+    counted = sorted(map(tuple, B.counted_terms(df, ["post_id"]).collect()))
+    want = [(i, w, n) for i, text in rows for w, n in Counter((text or "").split()).items() if len(w) > 1]
+    assert counted == sorted((i, w, n) for i, w, n in want)
+
+
+def test_closest_topic_meets_one_index_row_per_term(docs, spark):
+    scores = B.c_tf_idf(docs)
+    index, topics = B.pull_index(scores)
+    assert topics == sorted({r.topic for r in scores.collect()} - {-1})
+    terms = [r.term for r in index.collect()]
+    assert len(terms) == len(set(terms))
+    outliers = scores.where(F.col("topic") == -1)
+    assert B.pull_index(outliers)[1] == []
+    assert B.closest_topic(docs, outliers).collect() == []
+
+
 def test_names(docs, spark):
     scores = B.c_tf_idf(docs)
     extra = docs.unionByName(spark.createDataFrame([(9, 7, "")], docs.schema))
