@@ -30,6 +30,7 @@ from discourse_spark.functions.text import bigrams, tokens
 from discourse_spark.operators.analytics import rows
 from discourse_spark.operators.newton import LOGISTIC, SQUARED_HINGE, Block, blocks, newton
 from discourse_spark.operators.sampling import hash_key, random_sample
+from discourse_spark.operators.store import KeyedStore, once_per_text
 from discourse_spark.session import materialize
 
 MAX_FEATURES = 50_000
@@ -180,16 +181,21 @@ def embed_texts(df: DataFrame, load: Callable[[], Encoder], text_col: str = "cle
 
 def embedding_cache(df: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame],
                     id_col: str = "post_id") -> DataFrame:
-    """Embeddings by id, kept as Parquet: only posts not yet there are encoded."""
-    spark = df.sparkSession
-    try:
-        known = spark.read.parquet(path).select(id_col)
-        df = df.join(known, id_col, "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    encode(df).select(id_col, "embedding").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """Embeddings by id, kept in a store: only posts not yet there are encoded. Null ids are left out."""
+    store = KeyedStore(df.sparkSession, path, id_col)
+    encoded = encode(store.without_known(df).drop("_bucket")).select(id_col, "embedding")
+    store.add(encoded)
+    stored = store.read()
+    return encoded if stored is None else stored.drop("_bucket")
+
+
+def embed_once(df: DataFrame, path: str, load: Callable[[], Encoder], text_col: str = "clean_text",
+               id_col: str = "post_id", ranges: int = 16, tries: int = 1) -> DataFrame:
+    """Add ``embedding``, kept by content: copies of a text and texts of earlier calls cost nothing."""
+    def encode(texts: DataFrame) -> DataFrame:
+        return embed_texts(texts, load, text_col)
+
+    return once_per_text(df, path, encode, text_col, id_col, ranges, tries)
 
 
 def as_features(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discourse_spark.fixed_values import TOXICITY_COLUMNS, TOXICITY_LABEL_MAP
+from discourse_spark.operators.store import once_per_text
 
 Scorer = Callable[[list[str]], list[dict[str, float]]]
 
@@ -133,6 +134,20 @@ def score_batches(df: DataFrame, load: Callable[[], Scorer],
     ).drop("_scores")
 
 
+def score_resumable(df: DataFrame, path: str, load: Callable[[], Scorer],
+                    label_map: Mapping[str, str] = TOXICITY_LABEL_MAP, text_col: str = "clean_text",
+                    batch_size: int = 64, id_col: str = "post_id", ranges: int = 16,
+                    tries: int = 1) -> DataFrame:
+    """Add one column per mapped label by hash ranges of the texts, each committed when it is done.
+
+    A run that ends early goes on where it was when it is called again with the same ``path``.
+    """
+    def score(texts: DataFrame) -> DataFrame:
+        return score_batches(texts, load, label_map, text_col, batch_size)
+
+    return once_per_text(df, path, score, text_col, id_col, ranges, tries)
+
+
 def top1_label(df: DataFrame, load: Callable[[], Scorer], text_col: str = "clean_text",
                max_chars: int | None = None, batch_size: int = 32,
                keep_going: bool = False) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries over samples, splits and pluggable scorers."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from discourse_spark.operators import sampling as P
@@ -9,6 +11,7 @@ from discourse_spark.functions.text import clean_text
 from discourse_spark.plans import sql as S
 from discourse_spark.plans.corpus import facts, posts
 from discourse_spark.plans.registry import query
+from discourse_spark.session import shared_folder
 
 HASH = "(post_id * 7919 + 13) % 10007"
 
@@ -84,14 +87,26 @@ def _clean_posts(spark, sf_dir):
     return posts(spark, sf_dir).withColumn("clean_text", clean_text("text"))
 
 
-@query(S.with_clean(f"""{_WORDS} SELECT post_id, round({_TOXIC['toxic']}, 6) AS toxicity,
+_SCORES = S.with_clean(f"""{_WORDS} SELECT post_id, round({_TOXIC['toxic']}, 6) AS toxicity,
   0.0::DOUBLE AS severe_toxicity, 0.0::DOUBLE AS identity_attack,
-  round({_TOXIC['insult']}, 6) AS insult, round({_TOXIC['threat']}, 6) AS threat FROM words_"""))
+  round({_TOXIC['insult']}, 6) AS insult, round({_TOXIC['threat']}, 6) AS threat FROM words_""")
+
+
+@query(_SCORES)
 def score_batches(spark, sf_dir):
     scored = M.score_batches(_clean_posts(spark, sf_dir).drop("toxicity"), load_toxicity)
     return scored.select("post_id", *TOXICITY_COLUMNS)
 
 
+@query(_SCORES)
+def score_resumable(spark, sf_dir):
+    """A third of the posts is scored in a first run; the second goes on with what is open."""
+    source, path = _clean_posts(spark, sf_dir).drop("toxicity"), f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    M.score_resumable(source.where(F.col("post_id") % 3 == 0), path, load_toxicity, ranges=2)
+    scored = M.score_resumable(source, path, load_toxicity, ranges=2)
+    return scored.select("post_id", *TOXICITY_COLUMNS)
+
+
 _BEST = f"""{_WORDS}, shares AS (SELECT post_id, emotion AS old, {_EMOTIONS['anger']} AS anger,
   {_EMOTIONS['fear']} AS fear, {_EMOTIONS['joy']} AS joy FROM words_),
 rest_ AS (SELECT *, greatest(0, 1 - (anger + fear + joy)) AS neutral FROM shares),

@@ -151,9 +151,12 @@ class LetterEncoder:
         return [[t.count(c) / max(len(t), 1) for c in "aeiou"] for t in texts]
 
 
-@query(S.with_clean("SELECT post_id, " + ", ".join(
+_LETTERS = S.with_clean("SELECT post_id, " + ", ".join(
     f"round(CAST(CAST((length(clean_text) - length(replace(clean_text, '{c}', ''))) "
-    f"/ greatest(length(clean_text), 1) AS FLOAT) AS DOUBLE), 6) AS {c}" for c in "aeiou") + " FROM clean"))
+    f"/ greatest(length(clean_text), 1) AS FLOAT) AS DOUBLE), 6) AS {c}" for c in "aeiou") + " FROM clean")
+
+
+@query(_LETTERS)
 def embed_texts(spark, sf_dir):
     """Embeddings are cached by id: the second pass only encodes the other half."""
     from discourse_spark.functions.text import clean_text
@@ -172,6 +175,21 @@ def embed_texts(spark, sf_dir):
     )
 
 
+@query(_LETTERS)
+def embed_once(spark, sf_dir):
+    """Embeddings are kept by content: the second pass encodes the texts that the first had not."""
+    from discourse_spark.functions.text import clean_text
+
+    source = posts(spark, sf_dir).select("post_id", clean_text("text").alias("clean_text"))
+    path = _folder(spark)
+    C.embed_once(source.where(F.col("post_id") % 2 == 0), path, LetterEncoder, ranges=2)
+    embedded = C.embed_once(source, path, LetterEncoder, ranges=2)
+    return embedded.select(
+        "post_id",
+        *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("aeiou")],
+    )
+
+
 @query()
 def model_topics(spark, sf_dir):
     """Topics of whole texts from scratch, named by their own words."""
