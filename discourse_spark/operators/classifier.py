@@ -22,13 +22,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from discourse_spark.functions.text import bigrams, tokens
 from discourse_spark.operators.analytics import rows
 from discourse_spark.operators.newton import LOGISTIC, SQUARED_HINGE, Block, blocks, newton
+from discourse_spark.operators.ranks import with_running_total
 from discourse_spark.operators.sampling import hash_key, random_sample
 from discourse_spark.operators.store import KeyedStore, once_per_text
 from discourse_spark.session import materialize
@@ -69,21 +70,22 @@ def tfidf_vocabulary(df: DataFrame, text_col: str = "clean_text",
                      max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:
     """The ``max_features`` most frequent terms of at least ``min_df`` posts, with smooth idf.
 
-    Term counts are written once. A histogram of frequencies gives the lowest
-    one that can make the cut, so that the final ranking only sees terms near or
-    above it.
+    Term counts are written once. How many terms have a frequency of how many binary digits,
+    64 rows at most, gives the shortest one that can make the cut. The terms from there on are
+    numbered in ranges of frequency and term, ties too, so no task holds the vocabulary.
     """
     terms = materialize(term_statistics(df, text_col).where(F.col("df") >= min_df), "terms")
-    by_frequency = terms.groupBy("tf").agg(rows().alias("n"))
-    from_top = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, 0)
-    lowest = (
-        by_frequency.withColumn("above", F.sum("n").over(from_top) - F.col("n"))
-        .where(F.col("above") < max_features).agg(F.min("tf")).scalar()
-    )
+    digits = F.length(F.bin("tf"))
+    sizes = dict(sorted(terms.groupBy(digits).agg(rows()).collect(), reverse=True))
+    shortest, above = 0, 0
+    for length, n in sizes.items():
+        if above < max_features:
+            shortest, above = length, above + n
+    near = terms.where(digits >= shortest).withColumn("_less", -F.col("tf"))
     n_docs = df.agg(rows()).scalar()
     return (
-        terms.where(F.col("tf") >= lowest)
-        .orderBy(F.desc("tf"), "term").limit(max_features)
+        with_running_total(near, ["_less", "term"]).where(F.col("_running") <= max_features)
+        .drop("_less", "_running")
         .withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
     )
 

@@ -50,6 +50,15 @@ def test_tfidf_equals_hand_computation(texts, max_features):
         assert got == pytest.approx(vectors[row.post_id])
 
 
+def test_vocabulary_cuts_ties_by_term(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i:03}" for i in range(200)),)] * 2 + [("top w199 top",)] * 2,
+                               "clean_text string")
+    terms = [r.term for r in C.tfidf_vocabulary(df, max_features=40).collect()]
+    counts = C.term_statistics(df).where("df >= 2").collect()
+    assert sorted(terms) == sorted(r.term for r in sorted(counts, key=lambda r: (-r.tf, r.term))[:40])
+    assert C.tfidf_vocabulary(df.limit(0)).count() == 0
+
+
 def test_empty_vocabulary_is_an_error(spark):
     df = spark.createDataFrame([("one two",)], "clean_text string")
     with pytest.raises(ValueError):
