@@ -91,7 +91,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     entries = written(
         rows.select(id_or_last().alias("row_id"), "text")
         .repartitionByRange(max(1, -(-size // SHARD_BYTES)), "row_id")
-        .sortWithinPartitions("row_id")
+        # texts too: another attempt writes the documents of one id in the same order
+        .sortWithinPartitions("row_id", "text")
         .mapInPandas(_written_shards(folder, tokenizer_path),
                      "row_id long, copy long, shard long, place long, n_tokens long"),
         "entries",

@@ -330,6 +330,17 @@ def test_perfect_hash_is_minimal_and_knows_strangers():
         assert (index.find(strangers) >= 0).sum() <= 1
 
 
+def test_documents_of_one_id_are_written_in_one_order(spark):
+    texts = [f"word {'x ' * (i * 7 % 40)}{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(None, t) for t in texts[:30]], "doc_id long, text string")
+
+    def layout(df):
+        _, entries, _ = token_files.write_tokens(df, vocabulary("byte_bpe_50k.json"))
+        return sorted(map(tuple, entries.select("row_id", "copy", "place", "n_tokens").collect()))
+
+    assert layout(docs.repartition(6)) == layout(docs.orderBy(F.desc("text")).coalesce(2))
+
+
 def test_token_files_give_back_every_id(spark, sf_dir, documents, messy, nothing):
     own = WordEncoder(vocabulary("byte_bpe_50k.json"))
     at, want = 0, []
