@@ -4,12 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from discourse_spark.operators import aggregates as G
 from discourse_spark.operators import classifier as C
 from discourse_spark.operators import enrich
 from discourse_spark.operators import sampling as P
 from discourse_spark.operators import topics as B
 from discourse_spark.plans import sql as S
-from discourse_spark.plans.corpus import CALENDAR, calendar, posts, table
+from discourse_spark.plans.corpus import CALENDAR, calendar, facts, posts, table
 from discourse_spark.plans.registry import query
 from discourse_spark.plans.sampling_queries import load_emotion, load_toxicity
 from discourse_spark.session import materialize, shared_folder
@@ -133,6 +134,35 @@ def write_datasets(spark, sf_dir):
     return spark.read.parquet(path).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CHANGED = """changed AS (SELECT * FROM facts WHERE dataset NOT LIKE 'Instagram%'
+  AND (dataset NOT LIKE 'Tiktok%' OR post_id % 3 = 0))"""
+
+
+def _changed_sums(spark, sf_dir):
+    """Kept sums after one dataset is replaced by a third of its rows and one is removed."""
+    path, all_posts = _folder(spark), facts(spark, sf_dir)
+    G.keep_sums(all_posts, path)
+    G.keep_sums(all_posts.where(F.col("dataset").startswith("Tiktok") & (F.col("post_id") % 3 == 0)), path)
+    G.drop_sums(spark, path, "Instagram  ·  ig_c.csv")
+    return G.read_sums(spark, path)
+
+
+@query(S.with_facts(f"""{_CHANGED} SELECT count(*) AS total,
+  round(avg(othering_predicted) * 100, 6) AS othering_pct,
+  round(avg((toxicity > 0.5)::DOUBLE) * 100, 6) AS high_toxicity_pct,
+  count(DISTINCT dataset) AS n_datasets, (SELECT emotion FROM changed WHERE emotion IS NOT NULL
+    GROUP BY emotion ORDER BY count(*) DESC, emotion LIMIT 1) AS top_emotion FROM changed"""))
+def kept_kpis(spark, sf_dir):
+    return G.overview_kpis(_changed_sums(spark, sf_dir))
+
+
+@query(S.with_facts(f"""{_CHANGED} SELECT strftime(date_trunc('week', post_date), '%Y-%m-%d') AS period,
+  dataset, count(*) AS posts, round(avg(othering_predicted), 6) AS othering_rate,
+  round(avg(toxicity), 6) AS toxicity_mean FROM changed GROUP BY ALL"""))
+def kept_timeline(spark, sf_dir):
+    return G.timeline(_changed_sums(spark, sf_dir), "Week")
+
+
 @query(S.with_facts("""SELECT dataset, count(*) AS n, CAST(sum(othering_score) AS BIGINT) AS score,
   count(*) FILTER (WHERE toxicity IS NULL) AS unscored FROM facts GROUP BY dataset"""))
 def enrich_full(spark, sf_dir):
