@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from discourse_spark.llm.common import NO_ID, id_or_last, pick, plain_columns, position, text_batches, written
+from discourse_spark.llm.common import NO_ID, freed, id_or_last, pick, plain_columns, position, text_batches, written
 from discourse_spark.llm.graph import components
 from discourse_spark.llm.words import LOWER, batches, mix, shingles_of, whole_hash, words_of
 
@@ -226,7 +226,7 @@ def _labelled(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFr
     rows = rows.select(id_or_last().alias("row_id"), "text", F.xxhash64("text").alias("text_hash"))
     hashed = written(
         rows.select("row_id", "text_hash", "text").mapInArrow(
-            _hashed, "row_id long, text_hash long, digest binary, n_shingles long, keys array<long>"
+            freed(_hashed), "row_id long, text_hash long, digest binary, n_shingles long, keys array<long>"
         ),
         "hashed",
     )
@@ -252,7 +252,7 @@ def _labels(rows: DataFrame, classes: DataFrame) -> DataFrame:
     involved = members.select("digest").union(members.select("center")).distinct()
     sets = written(
         _texts(rows, classes.join(involved, "digest", "left_semi"))
-        .mapInArrow(_sets, "digest binary, shingles binary, signature binary")
+        .mapInArrow(freed(_sets), "digest binary, shingles binary, signature binary")
         .dropDuplicates(["digest"]),
         "sets",
     )

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from discourse_spark.llm.common import NO_ID, id_or_last, pick, ship, written
+from discourse_spark.llm.common import NO_ID, freed, id_or_last, pick, ship, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -321,7 +321,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
     rows = pick(docs, **{id_column: "long", text_column: "string"}).toDF("doc_id", "text")
     pieces = written(
         rows.select(id_or_last().alias("row_id"), "text").mapInPandas(
-            _pieces(tokenizer_path, capacity),
+            freed(_pieces(tokenizer_path, capacity)),
             "row_id long, piece int, start long, length long, ids_crc32 long",
         ),
         "pieces",

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from discourse_spark.llm.common import NO_ID, plain_columns, position, text_batches, written
+from discourse_spark.llm.common import NO_ID, freed, plain_columns, position, text_batches, written
 from discourse_spark.llm.suffix_sort import equal_runs, leading_words, sample_ranks, sorted_buckets
 from discourse_spark.llm.words import BASE, BYTE_VALUES, mix, span_hashes
 
@@ -462,7 +462,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     schema = T.StructType([
         T.StructField("packed", T.BinaryType()) if f.name == "text" else f for f in rows.schema.fields
     ])
-    texts = rows.mapInArrow(_packed, schema)
+    texts = rows.mapInArrow(freed(_packed), schema)
     slim = texts.select("g", "row_id", "rid", "packed")
     names_sent = slim.groupBy("g").applyInArrow(_names_of(buckets, span), "key long, g long, names binary")
     shared = written(

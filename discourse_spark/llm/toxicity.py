@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discourse_spark.llm.common import bounded_sample, pick, position, text_batches
+from discourse_spark.llm.common import bounded_sample, freed, pick, position, text_batches
 from discourse_spark.llm.words import LOWER, batches, span_hashes, words_of
 
 SAMPLE = 8_000  # labelled texts to fit on
@@ -334,7 +334,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     """(doc_id, score, predicted) of each row. Null and empty texts get the score of a text
     without features. Repeated rows repeat, null ids come back as null."""
     rows = pick(docs, **{id_column: "long", text_column: "string"}).toDF("doc_id", "text")
-    return rows.mapInArrow(_scored(model), "doc_id long, score double").select(
+    return rows.mapInArrow(freed(_scored(model)), "doc_id long, score double").select(
         "doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 

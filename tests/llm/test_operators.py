@@ -15,6 +15,7 @@ from discourse_spark.llm import (
     embedding_dedup, language_cnn, minmax_dedup, packing, perfect_hash, quality_bands, secret_scan,
     sentencepiece_fst, suffix_dedup, token_files, toxicity,
 )
+from discourse_spark.llm.common import freed
 from discourse_spark.llm.graph import components
 from discourse_spark.llm.queries import QUERIES, SQL, vocabulary
 from discourse_spark.llm.suffix_sort import sorted_buckets
@@ -330,6 +331,12 @@ def test_perfect_hash_is_minimal_and_knows_strangers():
         assert (index.find(strangers) >= 0).sum() <= 1
 
 
+def test_giving_back_memory_leaves_rows_alone(spark):
+    df = spark.range(50).repartition(3)
+    same = df.mapInArrow(freed(lambda parts: parts), "id long")
+    assert sorted(r.id for r in same.collect()) == list(range(50))
+
+
 def test_documents_of_one_id_are_written_in_one_order(spark):
     texts = [f"word {'x ' * (i * 7 % 40)}{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, t) for t in texts] + [(None, t) for t in texts[:30]], "doc_id long, text string")
