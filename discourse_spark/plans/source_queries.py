@@ -31,6 +31,18 @@ def read_posts(spark, sf_dir):
     return IO.read_posts(spark, path, documents.schema).withColumn("n", F.length("text"))
 
 
+@query("""SELECT doc_id, text, lang, CAST(length(text) AS BIGINT) AS n FROM
+  (SELECT doc_id, replace(text, '. ', '.' || chr(10) || '"') AS text, lang FROM documents)
+WHERE text IS NOT NULL AND text <> ''""")
+def read_posts_split(spark, sf_dir):
+    """Texts with a quoted break and quote after each sentence, in one CSV file that many tasks read."""
+    path = f"{_folder(spark)}/documents.csv"
+    broken = F.replace("text", F.lit(". "), F.lit('.\n"')).alias("text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", broken, "lang")
+    IO.write_table(documents.where("text <> ''").coalesce(1), path)
+    return IO.read_posts(spark, path, documents.schema, split_files=True).withColumn("n", F.length("text"))
+
+
 _LAID_OUT = """laid_out AS (SELECT 'Chats  ·  turns.csv' AS dataset, text FROM conversations
 UNION ALL SELECT 'Docs  ·  texts.parquet', text FROM posts
 UNION ALL SELECT 'Imported  ·  pages.csv', html FROM pages)"""
