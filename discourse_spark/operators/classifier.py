@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import operator
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,6 +22,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
@@ -166,7 +169,7 @@ Encoder = Callable[[list[str]], "list[list[float]]"]
 
 
 def embed_texts(df: DataFrame, load: Callable[[], Encoder], text_col: str = "clean_text",
-                batch_size: int = 256) -> DataFrame:
+                batch_size: int = 256, output_col: str = "embedding") -> DataFrame:
     """Add ``embedding`` from a pluggable encoder, loaded once per task."""
 
     @F.pandas_udf("array<float>")
@@ -178,7 +181,36 @@ def embed_texts(df: DataFrame, load: Callable[[], Encoder], text_col: str = "cle
                 vectors.extend(encode(series.iloc[start:start + batch_size].tolist()))
             yield pd.Series([list(map(float, v)) for v in vectors])
 
-    return df.withColumn("embedding", embed(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(output_col, embed(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+class Embedding(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
+                DefaultParamsWritable):
+    """Stage: texts to dense vectors by an encoder.
+
+    The encoder's loader is kept as ``module:name``, so that a stored pipeline finds it again.
+    """
+
+    loader = Param(Params._dummy(), "loader", "the encoder's loader as module:name", TypeConverters.toString)
+
+    def __init__(self, inputCol: str = "clean_text", outputCol: str = "features",
+                 loader: str | None = None) -> None:
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, loader=loader)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        module, name = self.getOrDefault(self.loader).split(":")
+        load = operator.attrgetter(name)(importlib.import_module(module))
+        column = self.getOutputCol()
+        embedded = embed_texts(dataset, load, self.getInputCol(), output_col=column)
+        return embedded.withColumn(column, array_to_vector(F.col(column).cast("array<double>")))
+
+
+def embedded_features(load: Callable[[], Encoder], text_col: str = "clean_text") -> PipelineModel:
+    """Dense features from an encoder, whose loader must be a function or class of a module."""
+    if "<" in load.__qualname__:
+        raise ValueError("the encoder's loader must be importable by its name")
+    return PipelineModel([Embedding(text_col, "features", f"{load.__module__}:{load.__qualname__}")])
 
 
 def embedding_cache(df: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame],
@@ -329,18 +361,28 @@ class OtheringClassifier:
 
 def train_models(split: DataFrame, label: str = "label", features: tuple[str, ...] = ("TF-IDF",),
                  text_col: str = "clean_text", id_col: str = "post_id",
+                 encoder: Callable[[], Encoder] | None = None,
                  **options) -> tuple[list[OtheringClassifier], DataFrame]:
     """Train both models on each kind of features; return them with a comparison table.
 
-    ``split`` has a ``split`` column (train/test). Features are written once per
+    ``split`` has a ``split`` column (train/test). Kinds are ``TF-IDF``, ``Hashed`` and
+    ``Embeddings``, which needs an ``encoder`` loader. Features are written once per
     kind, because every optimiser step reads them again.
     """
+    featurizers = {
+        "TF-IDF": lambda: fit_tfidf(train, text_col),
+        "Hashed": lambda: hashed_features(text_col),
+    }
+    if encoder is not None:
+        featurizers["Embeddings"] = lambda: embedded_features(encoder, text_col)
+    if unknown := set(features) - set(featurizers):
+        raise ValueError(f"no such features: {sorted(unknown)}; there are {sorted(featurizers)}")
     data = split.select(id_col, "split", text_col, F.col(label).cast("double").alias("label"))
     train = data.where(F.col("split") == "train")
     n_train = train.count()
     fitted, comparison = [], None
     for kind in features:
-        featurizer = fit_tfidf(train, text_col) if kind == "TF-IDF" else hashed_features(text_col)
+        featurizer = featurizers[kind]()
         ready = materialize(
             featurizer.transform(data).select(id_col, "split", "label", "features"), "features"
         )

@@ -12,7 +12,7 @@ from discourse_spark.operators import topics as B
 from discourse_spark.plans import sql as S
 from discourse_spark.plans.corpus import CALENDAR, calendar, facts, posts, table
 from discourse_spark.plans.registry import query
-from discourse_spark.plans.sampling_queries import load_emotion, load_toxicity
+from discourse_spark.plans.sampling_queries import _BEST, _TOXIC, load_emotion, load_toxicity
 from discourse_spark.session import materialize, shared_folder
 from discourse_spark.sources import posts as IO
 
@@ -186,6 +186,11 @@ def enrich_full(spark, sf_dir):
     )
 
 
+_LETTERS = S.with_clean("SELECT post_id, " + ", ".join(
+    f"round(CAST(CAST((length(clean_text) - length(replace(clean_text, '{c}', ''))) "
+    f"/ greatest(length(clean_text), 1) AS FLOAT) AS DOUBLE), 6) AS {c}" for c in "aeiou") + " FROM clean")
+
+
 class LetterEncoder:
     """Shares of five letters: a stand-in for a sentence encoder."""
 
@@ -193,11 +198,6 @@ class LetterEncoder:
         return [[t.count(c) / max(len(t), 1) for c in "aeiou"] for t in texts]
 
 
-_LETTERS = S.with_clean("SELECT post_id, " + ", ".join(
-    f"round(CAST(CAST((length(clean_text) - length(replace(clean_text, '{c}', ''))) "
-    f"/ greatest(length(clean_text), 1) AS FLOAT) AS DOUBLE), 6) AS {c}" for c in "aeiou") + " FROM clean")
-
-
 @query(_LETTERS)
 def embed_texts(spark, sf_dir):
     """Embeddings are cached by id: the second pass only encodes the other half."""
@@ -255,3 +255,66 @@ def metrics_document(spark, sf_dir):
         "model_name", "n_train", "n_test", "n_pos_train", "n_pos_test", "precision", "recall",
         "f1", F.size("all_models").alias("n_models"),
     )
+
+
+_encoded = {}
+
+
+def _encoded_models(spark, sf_dir):
+    """Both models on embeddings, trained once per application."""
+    from discourse_spark.plans.model_queries import _split
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _encoded:
+        _encoded[key] = C.train_models(_split(spark, sf_dir), features=("Embeddings",), encoder=LetterEncoder)
+    return _encoded[key]
+
+
+@query(S.with_posts("""SELECT name AS model, count(*) AS n, count(*) AS n_same FROM posts,
+  (VALUES ('LogisticRegression_Embeddings'), ('LinearSVC_Embeddings')) AS m(name) GROUP BY name"""))
+def stored_models(spark, sf_dir):
+    """Models on embeddings predict the same for every post after they are saved and loaded."""
+    from discourse_spark.plans.model_queries import cleaned
+
+    source, path, compared = cleaned(spark, sf_dir).select("post_id", "clean_text"), _folder(spark), []
+    for model in _encoded_models(spark, sf_dir)[0]:
+        model.save(path)
+        again = C.OtheringClassifier.load(path, model.name).classify(source)
+        first = model.classify(source).drop("clean_text").toDF("post_id", "predicted", "proba")
+        same = (F.col("predicted") == F.col("othering_predicted")) & (F.col("proba") == F.col("othering_proba"))
+        compared.append(again.join(first, "post_id").agg(
+            F.lit(model.name).alias("model"), F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_same")))
+    return compared[0].unionByName(compared[1])
+
+
+_FULL_COUNTS = """count(*) AS n, round(sum(toxicity), 4) AS toxicity, round(sum(threat), 4) AS threat,
+  round(sum(emotion_score), 3) AS emotion_score,"""
+
+
+@query(S.with_facts(f"""{_BEST},
+scored AS (SELECT f.dataset, f.othering_score AS score, {_TOXIC['toxic']} AS toxicity, {_TOXIC['threat']} AS threat,
+    b.label AS emotion, round(b.top, 4) AS emotion_score
+  FROM words_ w JOIN best b USING (post_id) JOIN facts f USING (post_id))
+SELECT dataset, emotion, {_FULL_COUNTS} CAST(sum(score) AS BIGINT) AS score, CAST(0 AS BIGINT) AS n_unnamed,
+  CAST(0 AS BIGINT) AS n_unclassified FROM scored GROUP BY ALL"""))
+def enrich_full_scored(spark, sf_dir):
+    """Posts without any score through both scorers, topics and a fitted model. Topics and
+    predictions have no SQL: every post must have a named topic and a label that fits its probability."""
+    raw = posts(spark, sf_dir).drop("toxicity", "emotion", "topic", "topic_name")
+    fitted, comparison = _encoded_models(spark, sf_dir)
+
+    def topics(df):
+        return B.model_topics(df, k=8, min_size=5)
+
+    full = enrich.enrich_full(
+        raw, True, load_toxicity, load_emotion, topics, C.select_best(fitted, comparison)
+    )
+    named = F.col("topic").isNotNull() & F.col("topic_name").isNotNull()
+    fits = F.when(F.col("othering_proba") > 0.5, 1).when(F.col("othering_proba") < 0.5, 0).otherwise(
+        F.col("othering_predicted"))
+    return full.groupBy("dataset", "emotion").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("toxicity"), 4).alias("toxicity"),
+        F.round(F.sum("threat"), 4).alias("threat"), F.round(F.sum("emotion_score"), 3).alias("emotion_score"),
+        F.sum("othering_score").alias("score"), F.count_if(~named).alias("n_unnamed"),
+        F.count_if(~F.equal_null("othering_predicted", fits)).alias("n_unclassified"),
+    )

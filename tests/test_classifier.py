@@ -3,9 +3,11 @@
 import inspect
 import math
 import re
+import sys
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from discourse_spark.operators import classifier as C
@@ -96,6 +98,35 @@ def test_models_separate_toy_data_and_store(separable, tmp_path):
     assert document.confusion_matrix == [[30, 0], [0, 10]] and len(document.all_models) == 4
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
+
+
+class WordEncoder:
+    def __call__(self, texts):
+        return [[t.count("them"), t.count("garden"), len(t) / 100] for t in texts]
+
+
+def test_models_on_embeddings(separable, tmp_path):
+    fitted, comparison = C.train_models(separable, features=("Embeddings",), encoder=WordEncoder, folds=2)
+    assert [(r.features, r.f1) for r in comparison.collect()] == [("Embeddings", 1.0)] * 2
+    best = C.select_best(fitted, comparison)
+    best.save(str(tmp_path))
+    again = C.OtheringClassifier.load(str(tmp_path), best.name)
+    odd = separable.selectExpr("post_id", "if(post_id = 1, null, clean_text) clean_text", "'kept' embedding")
+    a, b = best.classify(odd), again.classify(odd)
+    assert a.exceptAll(b).isEmpty() and a.count() == 200
+    assert a.where("embedding = 'kept' and othering_predicted is not null").count() == 200
+
+
+@pytest.mark.parametrize("options", [
+    {"features": ("Hased",)}, {"features": ("Embeddings",)},
+    {"features": ("Embeddings",), "encoder": lambda: WordEncoder()},
+])
+def test_unknown_features_are_an_error(separable, options):
+    with pytest.raises(ValueError):
+        C.train_models(separable, **options)
+
+
 def test_training_is_not_cut_by_default():
     """Iterations and calibration folds are those of the reference."""
     defaults = {k: p.default for k, p in inspect.signature(C.fit_linear_svc).parameters.items()}
