@@ -298,3 +298,11 @@ def patch_dates(posts: DataFrame, lookup: DataFrame, source: str = "reddit", pre
         "post_date", F.col("found_date")
     )
     return posts.where(~of_source).unionByName(patched.select(*posts.columns))
+
+
+def date_match_report(patched: DataFrame, source: str = "reddit") -> DataFrame:
+    """Per dataset: how many of the source's posts ``patch_dates`` gave a date, of how many."""
+    matched, total = F.count("post_date"), F.count(F.lit(1))
+    return patched.where(F.col("source") == source).groupBy("dataset").agg(
+        matched.alias("n_matched"), total.alias("n_posts"), (100.0 * matched / total).alias("matched_pct")
+    )

@@ -306,26 +306,42 @@ def merge_topics(df: DataFrame, similarity: DataFrame, threshold: float = 0.8) -
 
 
 def model_topics(df: DataFrame, k: int = 50, features=None, dims: int = 5,
-                 min_size: int = 20, merge_above: float = 0.8,
-                 overrides: Mapping[int, str] | None = None, seed: int = 42) -> DataFrame:
+                 min_size: int | None = 20, merge_above: float = 0.8,
+                 overrides: Mapping[int, str] | None = None, seed: int = 42,
+                 keep_before: bool = False) -> DataFrame:
     """Add topic and topic_name: features, projection, clusters, outliers, merging, names.
 
     Without ``features`` (a column name) texts are hashed into vectors. The
     projected and the clustered table are written once, because later steps read
-    them several times.
+    them several times. With ``min_size`` None the number of rows gives it. ``keep_before`` adds
+    ``topic_before``, the topic before outliers were placed and topics merged.
     """
+    if min_size is None:
+        min_size = min_topic_size(df.count())
     if features is None:
         source, features = hashed_features().transform(df), "features"
     else:
         source = df
-    kept = [c for c in df.columns if c not in ("topic", "topic_name")]
+    kept = [c for c in df.columns if c not in ("topic", "topic_name") and not (keep_before and c == "topic_before")]
     reduced = materialize(reduce_dims(source, dims, features).select(*kept, "reduced"), "reduced")
     clustered = cluster(reduced, k, min_size, seed=seed).select(*kept, "topic")
+    if keep_before:
+        clustered = clustered.withColumn("topic_before", F.col("topic"))
     placed = materialize(reduce_outliers(materialize(clustered, "clustered")), "placed")
     merged = merge_topics(placed, topic_similarity(c_tf_idf(placed), k), merge_above)
     return add_topic_names(merged, overrides)
 
 
+def outlier_change(df: DataFrame, before: str = "topic_before", after: str = "topic") -> DataFrame:
+    """One row: outliers before and after they were placed, as numbers and in percent."""
+    n = F.count(F.lit(1))
+    columns = [n.alias("n")]
+    for name, topic in (("before", before), ("after", after)):
+        outliers = F.count_if(F.col(topic) == OUTLIER)
+        columns += [outliers.alias(f"n_{name}"), F.try_divide(100.0 * outliers, n).alias(f"pct_{name}")]
+    return df.agg(*columns)
+
+
 def topic_info(df: DataFrame) -> DataFrame:
     """Size and share of every topic, outliers included."""
     sizes = df.groupBy("topic").agg(rows().alias("n"))

@@ -322,7 +322,7 @@ def top_othering_topics(spark, sf_dir):
     return B.top_othering_topics(facts(spark, sf_dir), 5)
 
 
-@query(S.with_clean("""words_ AS (SELECT post_id, topic,
+_PLACED = """words_ AS (SELECT post_id, topic,
     unnest(regexp_extract_all(clean_text, '[a-z0-9_]{2,}')) AS term FROM clean),
 counts AS (SELECT topic, term, count(*) AS tf FROM words_ GROUP BY ALL),
 sizes AS (SELECT topic, sum(tf) AS words FROM counts GROUP BY 1),
@@ -334,14 +334,27 @@ in_post AS (SELECT post_id, term, count(*) AS n FROM words_ WHERE topic = -1 GRO
 similar_ AS (SELECT post_id, s.topic, round(sum(n * idf * score / norm), 9) AS similarity
   FROM in_post JOIN scores s USING (term) JOIN norms USING (topic) GROUP BY ALL),
 best AS (SELECT post_id, topic, row_number() OVER (PARTITION BY post_id
-    ORDER BY similarity DESC, topic) AS r FROM similar_)
-SELECT c.post_id, CASE WHEN c.topic <> -1 THEN c.topic ELSE coalesce(b.topic, -1) END AS topic
-FROM clean c LEFT JOIN best b ON b.post_id = c.post_id AND r = 1"""))
+    ORDER BY similarity DESC, topic) AS r FROM similar_),
+placed AS (SELECT c.post_id, c.topic AS topic_before,
+    CASE WHEN c.topic <> -1 THEN c.topic ELSE coalesce(b.topic, -1) END AS topic
+  FROM clean c LEFT JOIN best b ON b.post_id = c.post_id AND r = 1)"""
+
+
+@query(S.with_clean(f"{_PLACED} SELECT post_id, topic FROM placed"))
 def reduce_outliers(spark, sf_dir):
     texts = cleaned(spark, sf_dir).select("post_id", "topic", "clean_text")
     return B.reduce_outliers(texts, topic_scores(spark, sf_dir)).select("post_id", "topic")
 
 
+@query(S.with_clean(f"""{_PLACED} SELECT count(*) AS n, count(*) FILTER (WHERE topic_before = -1) AS n_before,
+  round(100.0 * count(*) FILTER (WHERE topic_before = -1) / count(*), 6) AS pct_before,
+  count(*) FILTER (WHERE topic = -1) AS n_after,
+  round(100.0 * count(*) FILTER (WHERE topic = -1) / count(*), 6) AS pct_after FROM placed"""))
+def outlier_change(spark, sf_dir):
+    texts = cleaned(spark, sf_dir).select("post_id", "topic", "clean_text", F.col("topic").alias("topic_before"))
+    return B.outlier_change(B.reduce_outliers(texts, topic_scores(spark, sf_dir)))
+
+
 @query(S.with_clean("""words_ AS (SELECT topic, unnest(regexp_extract_all(clean_text, '[a-z0-9_]{2,}')) AS term
   FROM clean),
 counts AS (SELECT topic, term, count(*) AS tf FROM words_ GROUP BY ALL),

@@ -211,13 +211,12 @@ def event_window_sample(spark, sf_dir):
     )
 
 
-@query(S.with_posts("""lookup AS (SELECT lower(trim(text)) AS k,
+_LOOKUP = """lookup AS (SELECT lower(trim(text)) AS k,
     arg_max(TIMESTAMP '2023-01-01' + to_days(CAST(post_id % 300 AS INT)), post_id) AS found
-  FROM posts WHERE post_id % 2 = 0 GROUP BY 1)
-SELECT post_id, strftime(CASE WHEN source = 'reddit' THEN found ELSE post_date END,
-  '%Y-%m-%d %H:%M:%S') AS post_date
-FROM posts LEFT JOIN lookup ON k = lower(trim(text))"""))
-def patch_dates(spark, sf_dir):
+  FROM posts WHERE post_id % 2 = 0 GROUP BY 1)"""
+
+
+def _patched(spark, sf_dir):
     """Half of the posts, as a raw forum dump, give dates to all with the same text."""
     target = posts(spark, sf_dir)
     dump = target.where(F.col("post_id") % 2 == 0).select(
@@ -227,4 +226,20 @@ def patch_dates(spark, sf_dir):
         .cast("string").alias("created_utc"),
     )
     lookup = E.date_lookup(dump, ["politics"])
-    return E.patch_dates(target, lookup).select("post_id", "post_date")
+    return E.patch_dates(target, lookup)
+
+
+@query(S.with_posts(f"""{_LOOKUP}
+SELECT post_id, strftime(CASE WHEN source = 'reddit' THEN found ELSE post_date END,
+  '%Y-%m-%d %H:%M:%S') AS post_date
+FROM posts LEFT JOIN lookup ON k = lower(trim(text))"""))
+def patch_dates(spark, sf_dir):
+    return _patched(spark, sf_dir).select("post_id", "post_date")
+
+
+@query(S.with_posts(f"""{_LOOKUP}
+SELECT dataset, count(found) AS n_matched, count(*) AS n_posts,
+  round(100.0 * count(found) / count(*), 6) AS matched_pct
+FROM posts LEFT JOIN lookup ON k = lower(trim(text)) WHERE source = 'reddit' GROUP BY dataset"""))
+def date_match_report(spark, sf_dir):
+    return E.date_match_report(_patched(spark, sf_dir))

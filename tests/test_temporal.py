@@ -169,7 +169,11 @@ def test_patch_dates_with_a_hot_key(spark):
         "title string, selftext string, subreddit string, created_utc string, ord int",
     )
     lookup = E.date_lookup(dump, ["politics"])
-    got = {r.post_id: r.post_date for r in E.patch_dates(posts, lookup).collect()}
+    patched = E.patch_dates(posts, lookup)
+    report = E.date_match_report(patched.withColumn("dataset", F.lit("d"))).first()
+    dated = sum(s == "reddit" and t in ("Same Start", "text 6") for _, t, s in rows)
+    assert (report.n_matched, report.n_posts) == (dated, sum(s == "reddit" for *_, s in rows))
+    got = {r.post_id: r.post_date for r in patched.collect()}
     assert len(got) == 3000
     for i, text, source in rows:
         want = None

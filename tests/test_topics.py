@@ -151,7 +151,16 @@ def test_whole_topic_model(spark):
     text = F.when(i % 3 == 0, "apple pear plum fruit").when(i % 3 == 1, "car bus tram road").otherwise(
         "rain snow wind cloud")
     df = spark.range(90).withColumnRenamed("id", "post_id").select("post_id", text.alias("clean_text"))
-    rows = B.model_topics(df, k=3, dims=3, min_size=5).groupBy("clean_text").agg(
+    modelled = B.model_topics(df, k=3, dims=3, min_size=5, keep_before=True)
+    change = B.outlier_change(modelled).first()
+    assert change.n == df.count() and change.n_after <= change.n_before
+    assert change.pct_before == pytest.approx(100 * change.n_before / change.n)
+    rows = modelled.groupBy("clean_text").agg(
         F.countDistinct("topic").alias("n"), F.first("topic_name").alias("name")).collect()
     assert len(rows) == 3 and all(r.n == 1 for r in rows)
     assert {r.name for r in rows} == {"apple_fruit_pear", "bus_car_road", "cloud_rain_snow"}
+
+
+def test_outlier_change_of_no_rows(spark):
+    empty = spark.createDataFrame([], "topic int, topic_before int")
+    assert tuple(B.outlier_change(empty).first()) == (0, 0, None, 0, None)
