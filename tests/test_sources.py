@@ -105,3 +105,9 @@ def test_metrics_json(spark, tmp_path):
     IO.write_metrics_json(df, f"{tmp_path}/m")
     (part,) = (tmp_path / "m").glob("part-*.json")
     assert json.loads(part.read_text()) == {"model_name": "m", "cm": [[1, 2]]}
+
+
+def test_a_large_table_is_laid_out_in_more_than_one_file(spark):
+    from discourse_spark.plans.source_queries import few_files
+
+    assert [few_files(spark.range(0, 100, 1, n)).rdd.getNumPartitions() for n in (1, 4, 12, 48)] == [1, 1, 3, 12]
