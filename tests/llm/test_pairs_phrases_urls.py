@@ -307,3 +307,14 @@ def test_allowed_rows_stay_as_they_are(spark):
     )
     got = url_filter.keep_allowed(df)
     assert got.columns == df.columns and rows(got) == [(2, "http://a.com/", "x", None)] * 2
+
+
+def test_every_labelled_suffix_counts(spark):
+    """More different labelled urls than an earlier sample held: each has a suffix of its own, all counted."""
+    n = 21_000
+    df = spark.range(n).select(
+        F.concat(F.lit("http://a."), F.col("id").cast("string"), F.lit(".org/")).alias("url"),
+        (F.col("id") % 2).cast("int").alias("label"),
+    ).withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    found = url_filter.fit(df, rules=()).statistics
+    assert found.where("kind = 'site'").agg(F.count("*"), F.sum("n"), F.sum("blocked")).first()[:] == (n, n, n // 2)
