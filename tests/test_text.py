@@ -104,3 +104,13 @@ def test_tokens_and_bigrams(spark):
         (["don", "go", "back", "home"], ["don go", "go back", "back home"]),
         (["one"], []), ([], []),
     ]
+
+
+def test_slow_patterns_run_only_where_they_can_match(spark):
+    plan = str(X.clean_text("t"))
+    assert plan.count("contains") >= 3 and "CASE WHEN" in plan
+    texts = ["", "wow", "we WE us, our_ ours-us theirs", "http://x.y/z @me hi", "a@b c", "www. www.x", "@", "http"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", X.clean_text("t").alias("c"), X.we_count(F.col("t")).alias("n")).collect():
+        assert row.c == python_clean(row.t)
+        assert row.n == len(re.findall(rf"\b(?:{'|'.join(WE_WORDS)})\b", row.t))
