@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from discourse_spark.llm.common import id_or_last, pick, ship, text_batches, written
+from discourse_spark.llm.common import freed, id_or_last, pick, ship, text_batches, written
 from discourse_spark.llm.words import BASE, LOWER, mix, span_hashes, words_of
 from discourse_spark.operators.ranks import with_running_total
 
@@ -127,7 +127,11 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True)
+    keys = np.concatenate(parts)
+    parts.clear()
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,9 @@ class Spoken:
     def __init__(self):
         self.keys = self.others = np.zeros(0, dtype=np.uint64)  # in order of the keys
         self.n = self.place = np.zeros(0, dtype=np.int64)
-        self.phrases: list[tuple[str, int, bytes]] = []
+        self.langs: list[str] = []
+        self.lengths: list[int] = []
+        self.phrases: list[bytes] = []
 
     def add(self, words: Words, langs: list[str], length: int, at: np.ndarray, keys: np.ndarray,
             others: np.ndarray) -> None:
@@ -205,14 +211,16 @@ class Spoken:
         starts, ends, text = words.starts, words.ends, words.buffer
         for i in at[fresh].tolist():
             own = b" ".join(text[starts[j] : ends[j]].tobytes() for j in range(i, i + length))
-            self.phrases.append((langs[words.text[i]], length, own))
+            self.langs.append(langs[words.text[i]])
+            self.lengths.append(length)
+            self.phrases.append(own)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(self.phrases), dtype=np.int64)
         n[self.place] = self.n
         for at in range(0, len(n), ROWS):
-            langs, lengths, phrases = zip(*self.phrases[at : at + ROWS])
-            yield _spoken_rows(langs, lengths, [p.decode("utf-8", "replace") for p in phrases], n[at : at + ROWS])
+            phrases = [p.decode("utf-8", "replace") for p in self.phrases[at : at + ROWS]]
+            yield _spoken_rows(self.langs[at : at + ROWS], self.lengths[at : at + ROWS], phrases, n[at : at + ROWS])
 
 
 def _spoken_rows(langs, lengths, phrases, n) -> pa.RecordBatch:
@@ -268,19 +276,19 @@ def frequent_phrases(docs: DataFrame, id_column: str = "doc_id", text_column: st
         return spark.sparkContext.broadcast(bitmap(keys))
 
     proposed = _summed(
-        rows.where(sampled).select("text", "lang").mapInArrow(_counted(None, None, True), fields),
+        rows.where(sampled).select("text", "lang").mapInArrow(freed(_counted(None, None, True)), fields),
         max(2, int(LOWERED * share * least)), "proposed",
     )
     now, before = send(proposed), None
-    found = _summed(texts.mapInArrow(_counted(now, None, True), fields), least, "frequent")
+    found = _summed(texts.mapInArrow(freed(_counted(now, None, True)), fields), least, "frequent")
     known, fresh = proposed, found.join(proposed, "key", "left_anti")
     while not fresh.where(F.col("key").bitwiseAND(F.lit(3)) < LONGEST - 1).isEmpty():
         known = known.select("key").union(fresh.select("key"))
         now, before = send(known), now
-        fresh = _summed(texts.mapInArrow(_counted(now, before, False), fields), least, "border")
+        fresh = _summed(texts.mapInArrow(freed(_counted(now, before, False)), fields), least, "border")
         found = found.union(fresh)
     wanted = send(found)
-    spoken = texts.mapInArrow(_spoken(wanted), "lang string, length int, phrase string, n long")
+    spoken = texts.mapInArrow(freed(_spoken(wanted)), "lang string, length int, phrase string, n long")
     counts = spoken.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
     return written(counts.where((F.col("n") >= least) | (F.col("length") == 0)), "phrases")
 

@@ -318,3 +318,10 @@ def test_every_labelled_suffix_counts(spark):
     ).withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
     found = url_filter.fit(df, rules=()).statistics
     assert found.where("kind = 'site'").agg(F.count("*"), F.sum("n"), F.sum("blocked")).first()[:] == (n, n, n // 2)
+
+
+def test_counting_hashes_keeps_one_copy_of_them():
+    parts = [np.array([3, 1, 3], dtype=np.uint64), np.array([1, 3, 1 << 63], dtype=np.uint64)]
+    keys, n = phrases._tally(parts)
+    assert parts == [] and keys.tolist() == [1, 3, 1 << 63] and n.tolist() == [2, 3, 1]
+    assert [len(x) for x in phrases._tally([np.zeros(0, dtype=np.uint64)])] == [0, 0]
