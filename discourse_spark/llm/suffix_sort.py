@@ -41,14 +41,15 @@ def sample_ranks(leading: np.ndarray, depth: int | None = None) -> np.ndarray:
     leave what differs later equal.
     """
     n = len(leading)
-    at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
+    at = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
+    at = at[at < n]
     ranks = np.zeros(n + PERIOD, dtype=np.int64)
     names = _named(leading[at], len(at))
     ranks[at] = names
     length = PERIOD
     while names.max(initial=0) < len(at) and (depth is None or length + 1 < depth):
         ahead = at + length
-        following = np.where(ahead < n, ranks[np.minimum(ahead, n)], 0)
+        following = ranks[np.minimum(ahead, n)]  # 0 behind the end
         names = _named(names * (len(at) + 1) + following, len(at))
         ranks[at] = names
         length *= 2
@@ -125,23 +126,26 @@ def _rank_in_group(at: np.ndarray, group: np.ndarray, ranks: np.ndarray) -> np.n
     residue = at % PERIOD
     top = np.int64(ranks.max(initial=0) + 1)
     smaller = np.zeros(len(at), dtype=np.int64)
-    classes = [np.flatnonzero(residue == r) for r in range(PERIOD)]
-    ordered = []
-    for r, mine in enumerate(classes):
-        key = group[mine] * top + ranks[at[mine] + _SHIFT[r, r]]
-        ordered.append(mine[np.argsort(key)])
-    for b, theirs in enumerate(ordered):
+    classes, keys = [], []
+    for r in range(PERIOD):
+        mine = np.flatnonzero(residue == r)
+        base = group[mine] * top
+        own = base + ranks[at[mine] + _SHIFT[r, r]]
+        order = np.argsort(own)
+        mine, base = mine[order], base[order]
+        classes.append(mine)
+        # a class meets all seven at three shifts only
+        keys.append({s: base + ranks[at[mine] + s] for s in set(_SHIFT[r].tolist())} if len(mine) else {})
+    for b, theirs in enumerate(classes):
         if not len(theirs):
             continue
         begin = np.searchsorted(group[theirs], np.arange(group[-1] + 2)) if group[-1] < 4 * len(at) else None
-        for a, mine in enumerate(ordered):
+        for a, mine in enumerate(classes):
             if not len(mine):
                 continue
-            shift = _SHIFT[a, b]
-            key = group[theirs] * top + ranks[at[theirs] + shift]
-            wanted = group[mine] * top + ranks[at[mine] + shift]
+            shift = int(_SHIFT[a, b])
             before = begin[group[mine]] if begin is not None else np.searchsorted(group[theirs], group[mine])
-            smaller[mine] += np.searchsorted(key, wanted) - before
+            smaller[mine] += np.searchsorted(keys[b][shift], keys[a][shift]) - before
     return smaller
 
 

@@ -18,7 +18,7 @@ from discourse_spark.llm import (
 from discourse_spark.llm.common import freed
 from discourse_spark.llm.graph import components
 from discourse_spark.llm.queries import QUERIES, SQL, vocabulary
-from discourse_spark.llm.suffix_sort import sorted_buckets
+from discourse_spark.llm.suffix_sort import _rank_in_group, leading_words, sample_ranks, sorted_buckets
 from discourse_spark.llm.tokens import WordEncoder
 from pyspark.sql import functions as F
 
@@ -571,3 +571,25 @@ def test_pipeline(spark, sf_dir):
             assert r.text == given[i].text
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in last.collect()} == set(left)
+
+
+def test_ranks_within_groups_are_read_once_per_class_and_shift():
+    class Counted(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, key):
+            Counted.reads += 1
+            return np.asarray(super().__getitem__(key))
+
+    text = np.frombuffer(b"abcab" * 40 + b"xabcabcab" * 9, dtype=np.uint8)
+    leading = leading_words(text)
+    ranks = sample_ranks(leading)
+    at = np.argsort(leading, kind="stable")
+    group = np.unique(leading[at], return_inverse=True)[1]  # those that start alike
+    smaller = _rank_in_group(at, group, ranks.view(Counted))
+    raw = text.tobytes()
+    for g in range(group[-1] + 1):
+        own = at[group == g].tolist()
+        order = sorted(own, key=lambda i: raw[i:])
+        assert [order.index(i) for i in own] == smaller[group == g].tolist()
+    assert Counted.reads <= 28  # seven classes, three shifts and one order each
