@@ -198,6 +198,53 @@ def test_phrases_in_few_bits_and_small_steps(spark, monkeypatch):
     assert sorted(rows(phrases.collocations(df, least=8))) == phrases_by_force(docs, 8)
 
 
+def test_few_border_failures_need_one_further_pass(spark, monkeypatch):
+    """Words that the sample misses open longer phrases; those of all lengths are counted at once."""
+    passes = []
+    counted = phrases._counted
+    monkeypatch.setattr(phrases, "_counted", lambda *a: passes.append(a) or counted(*a))
+    hidden = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 20)) >= 1 << 19
+    often = [(i, " ".join(f"w{j}" for j in range(i % 3, 60)), "en") for i in range(200)]
+    once = spark.createDataFrame([(i, "only here four words", "en") for i in range(1000, 1300)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(often, once.schema).union(once.where(hidden)).repartition(3)
+    docs = [(r["text"], r["lang"]) for r in df.collect()]
+    assert sum(text.startswith("only") for text, _ in docs) >= 30
+    assert sorted(rows(phrases.collocations(df, share=0.5))) == phrases_by_force(docs)
+    assert len(passes) == 3  # the sample, the full pass, and one for all longer lengths
+
+
+def test_phrases_that_share_a_hash_are_counted_by_words(spark, monkeypatch):
+    keys = phrases.Words.keys
+
+    def few(self, hashes):
+        for length, own, whole in keys(self, hashes):
+            yield length, own & phrases.np.uint64(0xFFF0000000000003), whole
+
+    monkeypatch.setattr(phrases.Words, "keys", few)
+    again, spoken = [], phrases._spoken
+    monkeypatch.setattr(phrases, "_spoken", lambda *a: again.append(a) or spoken(*a))
+    docs = random_texts(300, seed=11)
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, text string, lang string")
+    assert sorted(rows(phrases.collocations(df, least=8))) == phrases_by_force(docs, 8)
+    assert len(again) == 1
+
+
+def test_few_tasks_send_the_words_of_a_phrase(spark, monkeypatch):
+    """400 words that occur 40 times each, once in each of 40 tasks, are not sent by all of these."""
+    read, written = [], phrases.written
+
+    def spy(df, name, *a):
+        read.append((name, written(df, name, *a)))
+        return read[-1][1]
+
+    monkeypatch.setattr(phrases, "written", spy)
+    docs = [(40 * i + j, f"w{i}", "en") for j in range(40) for i in range(400)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 40), "doc_id long, text string, lang string")
+    got = phrases.frequent_phrases(df)
+    assert sorted(rows(got)) == sorted([("en", 0, "", 16000), *(("en", 1, f"w{i}", 40) for i in range(400))])
+    assert 400 <= sum(d.where("length > 0").count() for name, d in read if name == "names") < 4000
+
+
 def test_phrases_of_messy_rows(messy, nothing):
     docs = [(r["text"], r["lang"]) for r in messy.select("text", "lang").collect()]
     assert sorted(rows(phrases.collocations(messy))) == phrases_by_force(docs)
