@@ -118,7 +118,11 @@ def c_tf_idf(df: DataFrame, topic: str = "topic", text_col: str = "clean_text")
     its shuffle, so frequent words and large topics cost no more than others. The
     counts are written once: texts are read a single time.
     """
-    counts = materialize(class_terms(df, topic, text_col), "class-terms")
+    return term_scores(materialize(class_terms(df, topic, text_col), "class-terms"))
+
+
+def term_scores(counts: DataFrame) -> DataFrame:
+    """``c_tf_idf`` of the written counts of each topic's terms."""
     # one row per topic; once written, its true size lets the planner broadcast it or not
     sizes = materialize(counts.groupBy("topic").agg(F.sum("tf").alias("words")), "topic-words")
     # a term has at most one row per topic here, so no term is a hot key
@@ -160,8 +164,9 @@ def topic_names(scores: DataFrame, topics: DataFrame,
 
 
 def add_topic_names(df: DataFrame, overrides: Mapping[int, str] | None = None,
-                    text_col: str = "clean_text") -> DataFrame:
-    names = topic_names(c_tf_idf(df, text_col=text_col), df, overrides)
+                    text_col: str = "clean_text", scores: DataFrame | None = None) -> DataFrame:
+    """``scores`` are the c-TF-IDF scores of ``df`` if they are at hand."""
+    names = topic_names(c_tf_idf(df, text_col=text_col) if scores is None else scores, df, overrides)
     return df.drop("topic_name").join(materialize(names, "topic-names"), "topic", "left")
 
 
@@ -286,6 +291,11 @@ def merge_topics(df: DataFrame, similarity: DataFrame, threshold: float = 0.8) -
 
     At most one pair per two topics reaches the driver.
     """
+    return df.withColumn("topic", merged_topic(similarity, threshold))
+
+
+def merged_topic(similarity: DataFrame, threshold: float) -> Column:
+    """The topic of a row after ``merge_topics``."""
     target: dict[int, int] = {}
 
     def root(topic: int) -> int:
@@ -302,7 +312,7 @@ def merge_topics(df: DataFrame, similarity: DataFrame, threshold: float = 0.8) -
     if target:
         lookup = F.create_map(*[F.lit(x) for t in target for x in (t, root(t))])
         merged = F.coalesce(F.try_element_at(lookup, F.col("topic")), merged)
-    return df.withColumn("topic", merged.cast("int"))
+    return merged.cast("int")
 
 
 def model_topics(df: DataFrame, k: int = 50, features=None, dims: int = 5,
@@ -311,25 +321,38 @@ def model_topics(df: DataFrame, k: int = 50, features=None, dims: int = 5,
                  keep_before: bool = False) -> DataFrame:
     """Add topic and topic_name: features, projection, clusters, outliers, merging, names.
 
-    Without ``features`` (a column name) texts are hashed into vectors. The
+    Without ``features`` (a column name) texts are hashed into vectors. The features, the
     projected and the clustered table are written once, because later steps read
-    them several times. With ``min_size`` None the number of rows gives it. ``keep_before`` adds
-    ``topic_before``, the topic before outliers were placed and topics merged.
+    them several times. Terms are counted once as well: where outliers are placed only their own
+    texts are read again, and counts of merged topics are added up. With ``min_size`` None the
+    number of rows gives it. ``keep_before`` adds ``topic_before``, the topic before outliers
+    were placed and topics merged.
     """
-    if min_size is None:
-        min_size = min_topic_size(df.count())
+    kept = [c for c in df.columns if c not in ("topic", "topic_name") and not (keep_before and c == "topic_before")]
     if features is None:
         source, features = hashed_features().transform(df), "features"
     else:
         source = df
-    kept = [c for c in df.columns if c not in ("topic", "topic_name") and not (keep_before and c == "topic_before")]
+    source = materialize(source.select(*kept, *([] if features in kept else [features])), "features")
+    if min_size is None:
+        min_size = min_topic_size(source.count())
     reduced = materialize(reduce_dims(source, dims, features).select(*kept, "reduced"), "reduced")
     clustered = cluster(reduced, k, min_size, seed=seed).select(*kept, "topic")
     if keep_before:
         clustered = clustered.withColumn("topic_before", F.col("topic"))
-    placed = materialize(reduce_outliers(materialize(clustered, "clustered")), "placed")
-    merged = merge_topics(placed, topic_similarity(c_tf_idf(placed), k), merge_above)
-    return add_topic_names(merged, overrides)
+    clustered = materialize(clustered.withColumn("_outlier", F.col("topic") == OUTLIER), "clustered")
+    counts = materialize(class_terms(clustered), "class-terms")
+    placed = materialize(reduce_outliers(clustered, term_scores(counts)), "placed")
+
+    def added(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
+
+    counts = materialize(
+        added(counts.where(F.col("topic") != OUTLIER).unionByName(class_terms(placed.where("_outlier")))), "class-terms"
+    )
+    topic = merged_topic(topic_similarity(term_scores(counts), k), merge_above)
+    scores = term_scores(materialize(added(counts.withColumn("topic", topic)), "class-terms"))
+    return add_topic_names(placed.drop("_outlier").withColumn("topic", topic), overrides, scores=scores)
 
 
 def outlier_change(df: DataFrame, before: str = "topic_before", after: str = "topic") -> DataFrame:

@@ -164,3 +164,26 @@ def test_whole_topic_model(spark):
 def test_outlier_change_of_no_rows(spark):
     empty = spark.createDataFrame([], "topic int, topic_before int")
     assert tuple(B.outlier_change(empty).first()) == (0, 0, None, 0, None)
+
+
+def test_topics_are_modelled_from_one_reading_of_the_input(spark, monkeypatch):
+    """Each text is made once, its terms are counted once, and counts of merged topics are those of their posts."""
+    made, counted, class_terms = spark.sparkContext.accumulator(0), [], B.class_terms
+    monkeypatch.setattr(B, "class_terms", lambda df, *a: counted.append(df.count()) or class_terms(df, *a))
+
+    @F.udf("string")
+    def make(i):
+        made.add(1)
+        kind = ("apple pear plum fruit", "apple pear plum juice", "car bus tram road")[i % 3]
+        return kind + "".join(f" w{(i * j) % 61}" for j in range(1, 2 + i % 9))
+
+    df = spark.range(120).select(F.col("id").alias("post_id"), make("id").alias("clean_text"))
+    modelled = B.model_topics(df, k=4, dims=3, min_size=5, merge_above=0.3, keep_before=True).collect()
+    assert made.value == len(modelled) == 120
+    outliers = sum(r.topic_before == -1 for r in modelled)
+    assert counted == [120, outliers] and outliers > 0
+    monkeypatch.undo()
+    again = spark.createDataFrame(modelled).drop("topic_name")
+    names = {r.topic: r.topic_name for r in modelled}
+    assert len(names) < 4
+    assert names == {r.topic: r.topic_name for r in B.add_topic_names(again).collect()}
