@@ -30,13 +30,15 @@ class KeywordScorer:
 
     def __init__(self, words: Mapping[str, Sequence[str]], rest: str | None = None) -> None:
         self.words = {label: frozenset(w) for label, w in words.items()}
+        self.listed = frozenset().union(*self.words.values())
         self.rest = rest
 
     def __call__(self, texts: list[str]) -> list[dict[str, float]]:
         results = []
         for text in texts:
-            found = Counter(text.split())
-            n = max(found.total(), 1)
+            split = text.split()
+            found = Counter(filter(self.listed.__contains__, split))
+            n = max(len(split), 1)
             scores = {label: sum(found[w] for w in ws) / n for label, ws in self.words.items()}
             if self.rest is not None:
                 scores[self.rest] = max(0.0, 1.0 - sum(scores.values()))

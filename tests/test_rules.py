@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from discourse_spark.fixed_values import RULES
 from discourse_spark.functions import rules as R
@@ -99,3 +100,25 @@ def test_all_labels_occur_in_the_corpus(facts):
 
     found = facts.select(F.explode("matched_patterns").alias("p")).distinct().collect()
     assert {r.p for r in found} == set(R.LABELS)
+
+
+def test_only_rules_of_open_families_are_tried(spark, monkeypatch):
+    """Each hit opens its family alone, a near miss none; odd blanks and letters hide no match."""
+    texts = [VECTORS[label][0] for label in R.LABELS] + [VECTORS[label][1] for label in R.LABELS] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    opened = {r.i: r.o.asDict() for r in df.select("i", R.open_families(df.t).alias("o")).collect()}
+    for i, text in enumerate(texts):
+        want = {R.FAMILY_OF[label] for label in python_labels(text or "")}
+        assert {family for family, is_open in opened[i].items() if is_open} == want, text
+
+    odd = ["they\x0bnever", "they\u00a0never", "\u00e9they never", "they never\u00e9", "rat\u0301", "\u200brats\n", "no\tplace\r\nhere",
+           "_rats", "rats_", "7rats", "\U0001f400rats\U0001f400", "", "they \x1c never", "don'\u2019t belong"]
+    got = labels_of(spark, odd)
+    native = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    for row in native.select("i", R.match_patterns(native.t).alias("m")).collect():
+        assert got[row.i].matched_patterns == row.m, odd[row.i]
+    assert any(got[i].has_othering for i in range(len(odd)))
+
+    # with all families closed no rule is tried
+    monkeypatch.setattr(R, "open_families", lambda text: F.struct(*[F.lit(False).alias(f) for f in R.FAMILIES]))
+    assert not any(r.has_othering for r in labels_of(spark, texts).values())
