@@ -273,9 +273,10 @@ def topic_similarity(scores: DataFrame, k: int) -> DataFrame:
         a, b = np.nonzero(total)
         yield pd.DataFrame({"a": a, "b": b, "product": total[a, b]})
 
-    products = by_term.mapInPandas(partial_products, "a int, b int, product double").groupBy(
+    # k * k rows, read three times; written, their sums over all terms are made once
+    products = materialize(by_term.mapInPandas(partial_products, "a int, b int, product double").groupBy(
         "a", "b"
-    ).agg(F.sum("product").alias("product"))
+    ).agg(F.sum("product").alias("product")), "topic-products")
     # the diagonal carries the squared norms: one row per topic
     norms = products.where(F.col("a") == F.col("b")).select("a", F.sqrt("product").alias("norm"))
     return (

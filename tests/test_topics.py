@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -102,6 +103,22 @@ def test_similarity_and_merging(spark):
     assert [r.topic for r in merged] == [0, 0, 2, 0, -1]
 
 
+def test_similarity_sums_over_terms_once(spark, capsys):
+    """Pairs and both norms come from one written sum over all terms."""
+    scores = spark.range(40).select(
+        (F.col("id") % 4).cast("int").alias("topic"), F.concat(F.lit("w"), (F.col("id") / 4).cast("int")).alias("term"),
+        F.col("id").cast("double").alias("score"))
+    similarity = B.topic_similarity(scores, k=4)
+    similarity.explain()
+    assert "MapInPandas" not in capsys.readouterr().out
+    found = {(r.a, r.b): r.cosine for r in similarity.collect()}
+    x = np.arange(40.0).reshape(10, 4)
+    norms = np.linalg.norm(x, axis=0)
+    assert len(found) == 6
+    for a, b in found:
+        assert found[a, b] == pytest.approx(x[:, a] @ x[:, b] / (norms[a] * norms[b]))
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     """Three far blobs of 60, 40 and 20 points, and one of 3."""
