@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from check_queries import rows_of
 from discourse_spark.llm import (
-    embedding_dedup, language_cnn, minmax_dedup, packing, perfect_hash, quality_bands, secret_scan,
+    common, embedding_dedup, language_cnn, minmax_dedup, packing, perfect_hash, quality_bands, secret_scan,
     sentencepiece_fst, suffix_dedup, token_files, toxicity,
 )
 from discourse_spark.llm.common import freed
@@ -195,6 +195,41 @@ def test_vectors_in_many_cells_equal_brute_force(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
 
 
+def test_vectors_are_not_stored_once_per_cell(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 50)
+    chance = np.random.default_rng(6)
+    vectors = chance.normal(size=(1500, 64)).astype(np.float32)
+    vectors[1000:1400] = vectors[:400] + chance.normal(0, 0.15, (400, 64)).astype(np.float32)
+    vectors[1400:] = 2 * vectors[:100]
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    df = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>"
+    )
+    for module in (common, embedding_dedup):
+        monkeypatch.setattr(module, "shared_folder", lambda _: str(tmp_path), raising=False)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 3 * vectors.nbytes
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_groups_of_blocks_meet_every_other_group(spark, monkeypatch, kind):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "TILE", 5)
+    chance = np.random.default_rng(7)
+    base = chance.normal(size=(30, 40))
+    vectors = (base[chance.integers(0, 30, 300)] + chance.normal(0, 0.28, (300, 40))).astype("f4" if kind == "float" else "f8")
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    low = np.arange(300)
+    while (low != (new := np.array([low[row].min() for row in near]))).any():
+        low = new
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(zip((near.sum(axis=1) - 1).tolist(), low.tolist())))
+
+
 # tokens, packing and files
 
 ODD = ["", " ", "a  b", " a", "a\nb c", "don't I'll", "x<|endoftext|>y z", "İstanbul I", "日本語 です", "A\x85B c\x1cd",
